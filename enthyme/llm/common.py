@@ -35,15 +35,39 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/enthyme-{sc.applicationId}"
 
 
+#: While this is set, Spark deletes the shuffle files of a query when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage: a lost executor costs no
-    recomputation of what led to it."""
+    recomputation of what led to it, and the shuffle files of what led to it can go."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "lz4").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A list of this many bigint keys (about 30 MB as a hashed relation) may be broadcast; longer ones are shuffled.
+BROADCAST_KEYS = 500_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A saved table of keys, marked for broadcast if its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def without(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id is not among the (saved) ids; a null id stays."""
+    gone = ids.select(F.col(ids.columns[0]).alias("__gone"))
+    return rows.join(sized(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the intermediate tables of this application; results that still read them must have been written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
@@ -88,7 +112,9 @@ class Rolling:
     def _powers(self, n: int) -> None:
         if n > self.size:
             self.size = max(n, 2 * self.size, 4096)
-            self.up, self.down = (np.cumprod(np.concatenate([[1], np.full(self.size, x, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64) for x in (BASE, BASE_INVERSE))
+            powers = np.ones((2, self.size + 1), dtype=np.uint64)
+            powers[0, 1:], powers[1, 1:] = BASE, BASE_INVERSE
+            self.up, self.down = np.cumprod(powers, axis=1, dtype=np.uint64)
 
     def runs(self, words: np.ndarray, k: int) -> np.ndarray:
         """One hash for each start of k consecutive words; empty if there are fewer."""

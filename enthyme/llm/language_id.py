@@ -141,3 +141,19 @@ def predictor(model: Model, texts_at: int = 2, batch_rows: int = 128):
                 yield pa.RecordBatch.from_arrays([*part.columns[:texts_at], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:texts_at], "lang_pred", "score"])
 
     return run
+
+
+def in_some_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of docs whose text is in one of the learned languages, with all their columns; only `und` goes."""
+    model = Model(*training_bits(docs, id_col, text_col, lang_col, per_language))
+    at = len(docs.columns)
+    names = [f"c{i}" for i in range(at)]
+    predict = predictor(model, at)
+    rows = docs.withColumn("__text", F.col(text_col)).toDF(*names, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in predict(batches):
+            known = pa.compute.not_equal(batch.column(at), "und")
+            yield pa.RecordBatch.from_arrays([c.filter(known) for c in batch.columns[:at]], names)
+
+    return rows.mapInArrow(run, rows.drop("text").schema).toDF(*docs.columns)
