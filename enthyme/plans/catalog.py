@@ -1,5 +1,439 @@
-"""Queries over the driver's tables, and the SQL that gives the same rows."""
+"""Queries over the driver's tables, and the SQL that gives the same rows. One entry per operator, as a user would call it."""
 
-FLAGSHIP = ""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import frames, graph, ledger, lines, quotes, suppose
+from .tables import SMALL_ROWS, table  # noqa: F401
+
+FLAGSHIP = "check_quotations"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- SQL pieces
+def sql_list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def sql_norm(x: str) -> str:
+    frm, to = (tx.QUOTES_FROM + tx.DROPPED).replace("'", "''"), tx.QUOTES_TO.replace("'", "''")
+    return f"regexp_replace(replace(translate(regexp_replace(coalesce({x}, ''), '{tx.PAGE_MARKER}', ' ', 'g'), '{frm}', '{to}'), '…', '...'), '{tx.SPACE}', ' ', 'g')"
+
+
+def sql_fold(x: str) -> str:
+    return f"trim(lower({sql_norm(x)}))"
+
+
+LONG_STOPS = [w for w in tx.STOP_WORDS if len(w) >= 4]
+
+
+def sql_words(x: str) -> str:
+    return f"[w FOR w IN regexp_extract_all(lower(coalesce({x}, '')), '[a-z]{{4,}}') IF w NOT IN ({sql_list(LONG_STOPS)})]"
+
+
+LINES = "SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS raw FROM documents"
+
+
+# ---------------------------------------------------------------- quotations
+@query(f"""
+WITH b AS (SELECT item_id, {sql_fold('text')} AS q FROM benchmark), d AS (SELECT doc_id, {sql_fold('text')} AS t FROM documents)
+SELECT item_id AS quote_id, doc_id AS source_id, strpos(t, q)::INT AS at FROM b JOIN d ON contains(t, q) WHERE length(q) >= 10
+""")
+def check_quotations(spark: SparkSession, d: str) -> DataFrame:
+    return quotes.quotations(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+@query(f"""
+WITH b AS (SELECT item_id, {sql_fold('text')} AS q FROM benchmark), d AS (SELECT doc_id, {sql_fold('text')} AS t FROM documents),
+f AS (SELECT item_id, doc_id FROM b JOIN d ON contains(t, q) WHERE length(q) >= 10)
+SELECT item_id AS quote_id, min(doc_id) AS first_source, count(DISTINCT doc_id) - 1 AS n_others FROM f GROUP BY 1 HAVING count(DISTINCT doc_id) > 1
+""")
+def quoted_elsewhere(spark, d):
+    return quotes.elsewhere(quotes.quotations(table(spark, d, "benchmark"), table(spark, d, "documents")))
+
+
+SCORED = f"""
+want AS (SELECT item_id, w FROM (SELECT item_id, unnest({sql_words('text')}) AS w FROM benchmark)),
+total AS (SELECT item_id, count(*) AS total FROM want GROUP BY 1),
+para AS (SELECT doc_id, line, trim(raw, ' ') AS p FROM ({LINES}) WHERE length(trim(raw, ' ')) >= 120 AND NOT starts_with(trim(raw, ' '), '#')),
+have AS (SELECT DISTINCT doc_id, line, w FROM (SELECT doc_id, line, unnest({sql_words('p')}) AS w FROM para)),
+scored AS (SELECT item_id, doc_id, line, count(*)::DOUBLE / total AS score FROM want JOIN have USING (w) JOIN total USING (item_id) GROUP BY item_id, doc_id, line, total)
+"""
+
+
+@query(f"""WITH {SCORED}
+SELECT item_id AS claim_id, arg_min(doc_id, (-score, doc_id, line)) AS source_id, arg_min(line, (-score, doc_id, line))::INT AS line, max(score) AS score
+FROM scored GROUP BY 1 HAVING max(score) >= 0.3""")
+def locate_paragraph(spark, d):
+    return quotes.best_paragraph(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+@query(f"""WITH {SCORED},
+cut AS (SELECT scored.item_id, scored.doc_id, scored.line, p,
+  [s FOR s IN [trim(x, ' ') FOR x IN regexp_split_to_array(regexp_replace(trim(p, ' '), '([.!?])["”’)]?\\s+([A-Z“"(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))] IF length(s) >= 30] AS ss
+  FROM scored JOIN para ON scored.doc_id = para.doc_id AND scored.line = para.line WHERE score >= 0.6),
+one AS (SELECT item_id, doc_id, line, unnest(CASE WHEN len(ss) > 0 THEN ss ELSE [p] END) AS s FROM cut),
+sent AS (SELECT item_id, doc_id, line, s, row_number() OVER () AS k FROM one),
+sw AS (SELECT DISTINCT k, w FROM (SELECT k, unnest({sql_words('s')}) AS w FROM sent)),
+best AS (SELECT sent.item_id, doc_id, line, sent.k, count(sw.w)::DOUBLE / max(total) AS score FROM sent JOIN total USING (item_id) JOIN want USING (item_id) LEFT JOIN sw ON sw.k = sent.k AND sw.w = want.w GROUP BY 1, 2, 3, 4),
+top AS (SELECT item_id, doc_id, line, max(score) AS score FROM best GROUP BY 1, 2, 3 HAVING max(score) >= 0.6),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, line) AS place FROM top)
+SELECT item_id AS claim_id, doc_id AS source_id, line::INT AS line, score, place::INT AS place FROM placed WHERE place <= 2""")
+def echo_candidates(spark, d):
+    return quotes.echoes(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+@query(f"""SELECT c.conv_id, c.turn, CASE WHEN length({sql_fold('c.text')}) >= 30 THEN contains({sql_fold('p.text')}, {sql_fold('c.text')}) END AS verbatim
+FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1""")
+def repeats_last_turn(spark, d):
+    c = table(spark, d, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("said"))
+    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", tx.verbatim(F.col("text"), F.col("said")).alias("verbatim"))
+
+
+# ---------------------------------------------------------------- text measures
+@query("""SELECT doc_id, printf('%08x', h) AS stamp FROM (
+  SELECT doc_id, list_reduce(list_prepend(2166136261::BIGINT, [ord(t[i])::BIGINT FOR i IN range(1, length(t) + 1)]), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h
+  FROM (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM documents))""")
+def stamps(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.stamp(F.col("text")).alias("stamp"))
+
+
+@query("""SELECT any_value(md5(coalesce(text, ''))) AS text_md5, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY coalesce(text, '') HAVING count(*) > 1""")
+def same_text(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    return docs.groupBy("text_md5").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1")
+
+
+WORDS_SQL = "CASE WHEN trim(regexp_replace(coalesce({x}, ''), '[ \\t\\n\\r\\f]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(coalesce({x}, ''), '[ \\t\\n\\r\\f]+', ' ', 'g')), ' ')) END"
+
+
+@query(f"""SELECT lang, count(*) AS docs, sum(len(regexp_extract_all(lower(coalesce(text, '')), '{tx.CAUSAL}')))::BIGINT AS mentions, sum({WORDS_SQL.format(x='text')})::BIGINT AS words FROM documents GROUP BY lang""")
+def causal_signal(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(tx.causal_mentions(F.col("text"))).alias("mentions"), F.sum(tx.word_count(F.col("text"))).alias("words"))
+
+
+@query(f"""SELECT words, docs FROM (SELECT {WORDS_SQL.format(x='text')}::INT AS words, count(*) AS docs FROM documents GROUP BY 1) WHERE docs > 1""")
+def same_length(spark, d):
+    return table(spark, d, "documents").groupBy(tx.word_count(F.col("text")).alias("words")).agg(F.count("*").alias("docs")).filter("docs > 1")
+
+
+@query(f"""WITH w AS (SELECT doc_id, [x FOR x IN string_split(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f]+', ' ', 'g')), ' ') IF x <> ''] AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN len([x FOR x IN w IF NOT regexp_matches(x, '^["''(]?[\\p{{L}}][\\p{{L}}''-]*["'').,;:!?]*$')])::DOUBLE / len(w) ELSE 0.0 END AS soup FROM w""")
+def soup_score(spark, d):
+    return table(spark, d, "documents").select("doc_id", lines.soup(F.col("text")).alias("soup"))
+
+
+@query(f"""WITH l AS ({LINES}), b AS (SELECT doc_id, line, regexp_matches(raw, '{tx.APPARATUS}') AS gone, raw FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_blanked, sum(CASE WHEN gone THEN 0 ELSE length(raw) END)::BIGINT AS chars_left FROM b GROUP BY 1""")
+def blank_apparatus(spark, d):
+    rows = lines.blanked(lines.source_lines(table(spark, d, "documents")))
+    return rows.groupBy(F.col("source_id").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.count_if("blanked").alias("n_blanked"), F.sum(F.length("raw")).alias("chars_left"))
+
+
+@query(f"""WITH l AS ({LINES}), k AS (SELECT doc_id, line, CASE WHEN length(trim(raw, ' ')) >= 120 THEN 'long' WHEN trim(raw, ' ') = '' THEN 'blank' ELSE 'short' END AS kind FROM l),
+i AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id, kind ORDER BY line) AS g FROM k)
+SELECT doc_id AS source_id, kind, min(line)::INT AS first, max(line)::INT AS last, count(*) AS n FROM i GROUP BY doc_id, kind, g""")
+def line_islands(spark, d):
+    t = F.trim("raw")
+    return lines.runs(lines.source_lines(table(spark, d, "documents")), F.when(F.length(t) >= 120, "long").when(t == "", "blank").otherwise("short"))
+
+
+PLAIN = "regexp_replace({x}, '<[^>]*>', '', 'g')"
+BODY = "regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
+
+
+@query(f"""SELECT page_id, CASE WHEN length({PLAIN.format(x=BODY)}) > 0
+  THEN length({PLAIN.format(x="array_to_string(regexp_extract_all(" + BODY + ", '(?is)<a[ >][^>]*>?(.*?)</a>', 1), '')")})::DOUBLE / length({PLAIN.format(x=BODY)}) ELSE 0.0 END AS link_ratio FROM pages""")
+def page_link_ratio(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.link_ratio(F.col("html")).alias("link_ratio"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<p[ >]')) AS paragraphs FROM pages""")
+def page_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("((?i)<p[ >])"), 1)).cast("bigint").alias("paragraphs"))
+
+
+# ---------------------------------------------------------------- order, windows, histograms
+@query("""WITH u AS (SELECT conv_id, min(turn) AS first_user FROM conversations WHERE role = 'user' GROUP BY 1)
+SELECT u.conv_id, first_user, min(turn) AS first_reply, min(turn) - first_user AS gap FROM u LEFT JOIN conversations c ON c.conv_id = u.conv_id AND c.role = 'assistant' AND c.turn > first_user GROUP BY 1, 2""")
+def first_use(spark, d):
+    c = table(spark, d, "conversations")
+    asked = c.filter("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first_user"))
+    answers = c.filter("role = 'assistant'").select("conv_id", "turn")
+    later = asked.join(answers, (asked["conv_id"] == answers["conv_id"]) & (answers["turn"] > asked["first_user"]), "left").groupBy(asked["conv_id"], "first_user").agg(F.min("turn").alias("first_reply"))
+    return later.withColumn("gap", F.col("first_reply") - F.col("first_user"))
+
+
+@query("""WITH r AS (SELECT min(epoch(ts)) AS lo, max(epoch(ts)) AS hi FROM events),
+b AS (SELECT least(23, floor((epoch(ts) - lo) * 24 / (hi - lo)))::INT AS bin, value FROM events, r),
+h AS (SELECT bin, sum(value) AS v FROM b GROUP BY 1), g AS (SELECT unnest(range(0, 24))::INT AS bin), f AS (SELECT g.bin, coalesce(v, 0) AS v FROM g LEFT JOIN h USING (bin))
+SELECT bin, v AS weight, (coalesce(lag(v) OVER (ORDER BY bin), v) + 2 * v + coalesce(lead(v) OVER (ORDER BY bin), v)) / 4 AS smooth FROM f""")
+def density_profile(spark, d):
+    return ledger.profile(table(spark, d, "events"), "ts", "value", 24)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch(ts) AS s, lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+SELECT user_id, count(*) FILTER (p IS NULL OR s - p > 86400) AS bursts, count(*) AS events FROM e GROUP BY 1""")
+def debounced(spark, d):
+    return ledger.debounced(table(spark, d, "events"), "user_id", "ts", "event_id", 86400)
+
+
+@query("""SELECT user_id, count(*) AS rounds, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1""")
+def ledger_rounds(spark, d):
+    return ledger.rounds(table(spark, d, "events"), "user_id", "event_type", ("ts", "event_id"))
+
+
+@query(f"""SELECT role, count(DISTINCT coalesce(text, '')) AS texts, count(*) AS turns, sum({WORDS_SQL.format(x='text')})::BIGINT AS words FROM conversations GROUP BY role""")
+def role_cost(spark, d):
+    c = table(spark, d, "conversations")
+    return c.groupBy("role").agg(F.count_distinct(F.coalesce("text", F.lit(""))).alias("texts"), F.count("*").alias("turns"), F.sum(tx.word_count(F.col("text"))).alias("words"))
+
+
+@query("""WITH r AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS k FROM documents)
+SELECT source, lang, doc_id, k::INT AS k FROM r WHERE k <= 2""")
+def stratified_pick(spark, d):
+    w = Window.partitionBy("source", "lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
+    return table(spark, d, "documents").select("source", "lang", "doc_id", F.row_number().over(w).alias("k")).filter("k <= 2")
+
+
+@query("""SELECT source, lang, count(*) AS docs, grouping(lang)::INT AS all_langs FROM documents GROUP BY ROLLUP (source, lang)""")
+def word_rollup(spark, d):
+    return table(spark, d, "documents").rollup("source", "lang").agg(F.count("*").alias("docs"), F.grouping("lang").cast("int").alias("all_langs"))
+
+
+@query("""WITH p AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g') AS name FROM part), g AS (SELECT name, min(p_partkey) AS first, count(*) AS n FROM p GROUP BY 1)
+SELECT name, first, n FROM g WHERE n > 1""")
+def same_work(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", " ").alias("name"))
+    return p.groupBy("name").agg(F.min("p_partkey").alias("first"), F.count("*").alias("n")).filter("n > 1")
+
+
+@query("""WITH s AS (SELECT l.doc_id, quality, CASE WHEN n_chars >= 500 THEN 1 ELSE 0 END AS said FROM labels l JOIN documents USING (doc_id))
+SELECT count(*) FILTER (quality = 1 AND said = 1) AS hit, count(*) FILTER (said = 1) AS claimed, count(*) FILTER (quality = 1) AS good,
+ (count(*) FILTER (quality = 1 AND said = 1))::DOUBLE / nullif(count(*) FILTER (said = 1), 0) AS precision FROM s""")
+def score_claims(spark, d):
+    s = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select("quality", (F.col("n_chars") >= 500).alias("said"))
+    hit, claimed, good = F.count_if((F.col("quality") == 1) & F.col("said")), F.count_if("said"), F.count_if(F.col("quality") == 1)
+    return s.agg(hit.alias("hit"), claimed.alias("claimed"), good.alias("good"), (hit / F.nullif(claimed, F.lit(0))).alias("precision"))
+
+
+# ---------------------------------------------------------------- graphs
+def _geography(spark, d) -> DataFrame:
+    """Who bears on whom: customers and suppliers support their nation, nations their region; a supplier in debt attacks."""
+    e = lambda df, a, pa, b, pb, kind: df.select(F.concat(F.lit(pa), F.col(a)).alias("src"), F.concat(F.lit(pb), F.col(b)).alias("dst"), kind.alias("kind"))
+    support = F.lit("support")
+    return (
+        e(table(spark, d, "nation"), "n_nationkey", "n", "n_regionkey", "r", support)
+        .unionByName(e(table(spark, d, "customer"), "c_custkey", "c", "c_nationkey", "n", support))
+        .unionByName(e(table(spark, d, "supplier"), "s_suppkey", "s", "s_nationkey", "n", F.when(F.col("s_acctbal") < 0, "attack").otherwise("support")))
+        .unionByName(e(table(spark, d, "orders"), "o_orderkey", "o", "o_custkey", "c", support))
+    )
+
+
+EDGES = """edges AS (
+ SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'support' AS kind FROM nation
+ UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'support' FROM customer
+ UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, CASE WHEN s_acctbal < 0 THEN 'attack' ELSE 'support' END FROM supplier
+ UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'support' FROM orders)"""
+
+
+@query(f"""WITH RECURSIVE {EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+apex AS (SELECT node FROM nodes WHERE node NOT IN (SELECT src FROM edges)),
+a AS (SELECT node, 0 AS dist FROM apex UNION SELECT src, dist + 1 FROM a JOIN edges ON dst = node),
+s AS (SELECT node, 0 AS dist FROM apex UNION SELECT src, dist + 1 FROM s JOIN edges ON dst = node WHERE kind = 'support'),
+da AS (SELECT node, min(dist) AS dist FROM a GROUP BY 1), sa AS (SELECT node, min(dist) AS dist_support FROM s GROUP BY 1)
+SELECT node, CASE WHEN dist = 0 THEN 'apex' WHEN dist_support IS NOT NULL THEN 'supports' WHEN dist IS NOT NULL THEN 'engages' ELSE 'inert' END AS role, dist, dist_support
+FROM nodes LEFT JOIN da USING (node) LEFT JOIN sa USING (node)""")
+def contribution(spark, d):
+    return graph.contribution(_geography(spark, d))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT src, dst FROM edges WHERE src[1] IN ('n', 's')), p AS (SELECT dst AS top, src AS below FROM e UNION SELECT p.top, e.src FROM p JOIN e ON e.dst = p.below),
+nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT node, count(below) AS load FROM nodes LEFT JOIN p ON p.top = node GROUP BY 1""")
+def support_load(spark, d):
+    return graph.closure_sizes(_geography(spark, d).filter(F.substring("src", 1, 1).isin("n", "s")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || (l_partkey % 50) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 97 = 0),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, b FROM r JOIN both_ways ON a = seen)
+SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def pieces(spark, d):
+    o = table(spark, d, "orders").filter("o_orderkey % 97 = 0")
+    e = o.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("dst"))
+    return graph.components(e)
+
+
+TRANSITIONS = """t AS (SELECT event_type AS src, lead(event_type) OVER w AS dst, value AS v, lead(value) OVER w AS nv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+steps AS (SELECT src, dst, CASE WHEN avg(nv - v) > 0 THEN '+' ELSE '-' END AS sign FROM t WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2 HAVING count(*) >= 5)"""
+
+
+def _transitions(spark, d) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    t = table(spark, d, "events").select(F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst"), (F.lead("value").over(w) - F.col("value")).alias("change"))
+    steps = t.filter("dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"), F.avg("change").alias("m")).filter("n >= 5")
+    return steps.select("src", "dst", F.when(F.col("m") > 0, "+").otherwise("-").alias("sign"), F.lit("").alias("regime"))
+
+
+@query(f"""WITH RECURSIVE {TRANSITIONS}, r AS (SELECT 'signup' AS place, ['signup'] AS path, 0 AS minus, 0 AS n UNION ALL
+ SELECT dst, list_append(path, dst), minus + (sign = '-')::INT, n + 1 FROM r JOIN steps ON src = place WHERE place <> 'purchase' AND NOT list_contains(path, dst) AND n < 4)
+SELECT array_to_string(path, '>') AS route, CASE WHEN minus % 2 = 1 THEN '-' ELSE '+' END AS net FROM r WHERE place = 'purchase'""")
+def causal_routes(spark, d):
+    node = lambda x: spark.range(1).select(F.lit(x).alias("node"))
+    found = graph.routes(_transitions(spark, d), node("signup"), node("purchase"), 4)
+    return found.select(F.array_join("path", ">").alias("route"), graph.net_sign(F.col("signs")).alias("net"))
+
+
+@query(f"""WITH RECURSIVE {TRANSITIONS}, r AS (SELECT DISTINCT src AS start, src AS place, [src] AS path, 0 AS minus, false AS closed FROM steps UNION ALL
+ SELECT start, dst, CASE WHEN dst = start THEN path ELSE list_append(path, dst) END, minus + (sign = '-')::INT, dst = start FROM r JOIN steps ON src = place WHERE NOT closed AND dst >= start AND (dst = start OR NOT list_contains(path, dst)) AND len(path) <= 4)
+SELECT array_to_string(path, '>') AS loop, CASE WHEN minus % 2 = 1 THEN 'balancing' ELSE 'reinforcing' END AS polarity FROM r WHERE closed AND len(path) <= 4""")
+def causal_loops(spark, d):
+    found = graph.loops(_transitions(spark, d), 4)
+    return found.select(F.array_join("loop", ">").alias("loop"), F.when(graph.net_sign(F.col("signs")) == "-", "balancing").otherwise("reinforcing").alias("polarity"))
+
+
+@query(f"""WITH RECURSIVE {TRANSITIONS}, r AS (SELECT src, dst FROM steps UNION SELECT r.src, steps.dst FROM r JOIN steps ON steps.src = r.dst),
+m AS (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src)
+SELECT src AS node, min(dst) AS system FROM m GROUP BY 1 HAVING count(DISTINCT dst) > 1""")
+def feedback_systems(spark, d):
+    return graph.systems(_transitions(spark, d))
+
+
+@query("""WITH denied AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5),
+ok AS (SELECT k, s_suppkey FROM denied JOIN supplier ON s_nationkey <> k),
+orders_ok AS (SELECT k, o_orderkey, o_custkey FROM denied, orders WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_orderkey = o_orderkey AND s_nationkey = k)),
+c AS (SELECT DISTINCT o_custkey FROM orders)
+SELECT 'deny ' || k AS scenario, count(*) AS customers_lost FROM denied, c WHERE NOT EXISTS (SELECT 1 FROM orders_ok o WHERE o.k = denied.k AND o.o_custkey = c.o_custkey) GROUP BY 1""")
+def suppose_nations_fail(spark, d):
+    """Linked and convergent support: an order goes through if every line's supplier holds, a customer if any order does."""
+    named = lambda p, c: F.concat(F.lit(p), F.col(c))
+    nations, suppliers = table(spark, d, "nation"), table(spark, d, "supplier")
+    orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
+    arguments = suppliers.select(named("by ", "s_suppkey").alias("arg"), named("s", "s_suppkey").alias("concludes")).unionByName(orders.select(named("o", "o_orderkey").alias("arg"), named("c", "o_custkey").alias("concludes")))
+    inputs = suppliers.select(named("by ", "s_suppkey").alias("arg"), named("n", "s_nationkey").alias("input")).unionByName(items.select(named("o", "l_orderkey").alias("arg"), named("s", "l_suppkey").alias("input")).distinct())
+    statements = nations.select(named("n", "n_nationkey").alias("id")).unionByName(arguments.select("concludes").distinct().withColumnRenamed("concludes", "id"))
+    said = nations.filter("n_nationkey < 5").select(named("deny ", "n_nationkey").alias("scenario"), named("n", "n_nationkey").alias("id"), F.lit(False).alias("holds"))
+    after = suppose.holding(statements, arguments, inputs, said, said.select("scenario"))
+    lost = suppose.losses(statements, after, said).filter(F.startswith("id", F.lit("c")))
+    return lost.groupBy("scenario").agg(F.count("*").alias("customers_lost"))
+
+
+# ---------------------------------------------------------------- case tables
+DIMENSIONS = ["segment", "balance", "nation"]
+CELLS = """cells AS (
+ SELECT c_custkey AS case_id, 'segment' AS frame, c_mktsegment AS value FROM customer
+ UNION ALL SELECT c_custkey, 'balance', CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'some' ELSE 'much' END FROM customer
+ UNION ALL SELECT c_custkey, 'nation', 'n' || c_nationkey FROM customer
+ UNION ALL SELECT o_custkey, 'verdict', CASE WHEN count(*) >= 12 THEN 'frequent' ELSE 'rare' END FROM orders GROUP BY o_custkey),
+wide AS (SELECT case_id, max(value) FILTER (frame = 'segment') AS segment, max(value) FILTER (frame = 'balance') AS balance, max(value) FILTER (frame = 'nation') AS nation, max(value) FILTER (frame = 'verdict') AS verdict FROM cells GROUP BY 1)"""
+
+
+def _cells(spark, d) -> DataFrame:
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    cell = lambda df, k, frame, v: df.select(F.col(k).alias("case_id"), F.lit(frame).alias("frame"), v.alias("value"))
+    balance = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "some").otherwise("much")
+    often = o.groupBy("o_custkey").agg(F.when(F.count("*") >= 12, "frequent").otherwise("rare").alias("v"))
+    return cell(c, "c_custkey", "segment", F.col("c_mktsegment")).unionByName(cell(c, "c_custkey", "balance", balance)).unionByName(cell(c, "c_custkey", "nation", F.concat(F.lit("n"), "c_nationkey"))).unionByName(cell(often, "o_custkey", "verdict", F.col("v")))
+
+
+@query(f"""WITH {CELLS}, p AS (
+ SELECT a.case_id AS a, b.case_id AS b, a.segment <> b.segment AS ds, a.balance <> b.balance AS db, a.nation <> b.nation AS dn, a.verdict AS va, b.verdict AS vb
+ FROM wide a JOIN wide b ON a.case_id < b.case_id WHERE a.segment IS NOT NULL AND b.segment IS NOT NULL AND (a.segment <> b.segment)::INT + (a.balance <> b.balance)::INT + (a.nation <> b.nation)::INT = 1)
+SELECT CASE WHEN ds THEN 'segment' WHEN db THEN 'balance' ELSE 'nation' END AS dimension, count(*) AS pairs, count(*) FILTER (va <> vb) AS apart FROM p GROUP BY 1""")
+def method_of_difference(spark, d):
+    pairs = frames.differing_in_one(_cells(spark, d), DIMENSIONS, "verdict")
+    return pairs.groupBy("dimension").agg(F.count("*").alias("pairs"), F.count_if(F.col("verdict_a") != F.col("verdict_b")).alias("apart"))
+
+
+@query(f"""WITH {CELLS} SELECT segment, balance, nation, count(DISTINCT verdict) AS verdicts, count(*) AS cases FROM wide WHERE verdict IS NOT NULL AND segment IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT verdict) > 1""")
+def alike_judged_apart(spark, d):
+    return frames.patterns_apart(_cells(spark, d), DIMENSIONS, "verdict")
+
+
+@query(f"""WITH {CELLS} SELECT case_id, segment = 'BUILDING' AND balance = 'much' AS meets, verdict AS got FROM wide
+WHERE verdict IS NOT NULL AND segment IS NOT NULL AND ((segment = 'BUILDING' AND balance = 'much') <> (verdict = 'frequent'))""")
+def against_rule(spark, d):
+    return frames.against_rule(_cells(spark, d), {"segment": "BUILDING", "balance": "much"}, "verdict", "frequent")
+
+
+@query(f"""WITH {CELLS}, f AS (SELECT DISTINCT frame FROM cells) SELECT c_custkey AS case_id, frame FROM customer, f WHERE NOT EXISTS (SELECT 1 FROM cells WHERE cells.case_id = c_custkey AND cells.frame = f.frame)""")
+def empty_cells(spark, d):
+    cells = _cells(spark, d)
+    return frames.empty_cells(cells, table(spark, d, "customer").select(F.col("c_custkey").alias("case_id")), cells.select("frame").distinct())
+
+
+@query("""WITH r AS (SELECT s_suppkey AS case_id, (-floor(s_acctbal / 500))::INT AS debt, s_nationkey % 7 AS distance, s_suppkey % 5 AS delay FROM supplier)
+SELECT case_id FROM r a WHERE EXISTS (SELECT 1 FROM r b WHERE a.debt >= b.debt AND a.distance >= b.distance AND a.delay >= b.delay AND (a.debt > b.debt OR a.distance > b.distance OR a.delay > b.delay))""")
+def dominated_suppliers(spark, d):
+    r = table(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id"), (-F.floor(F.col("s_acctbal") / 500)).cast("int").alias("debt"), (F.col("s_nationkey") % 7).alias("distance"), (F.col("s_suppkey") % 5).alias("delay"))
+    return frames.dominated(r, ["debt", "distance", "delay"])
+
+
+@query(f"""WITH {CELLS} SELECT a.value AS row_value, b.value AS column_value, count(DISTINCT a.case_id) AS n FROM cells a JOIN cells b USING (case_id) WHERE a.frame = 'segment' AND b.frame = 'balance' GROUP BY 1, 2""")
+def crosstab(spark, d):
+    return frames.crosstab(_cells(spark, d), "segment", "balance")
+
+
+COND = """cases AS (SELECT l_discount >= 0.05 AS a, l_quantity >= 25 AS b, l_tax >= 0.04 AS c, l_linestatus = 'F' AS f, l_returnflag = 'R' AS outcome FROM lineitem),
+t AS (SELECT a::INT + 2 * b::INT + 4 * c::INT + 8 * f::INT AS mask, count(*) AS n, sum(outcome::INT)::BIGINT AS with_outcome FROM cases GROUP BY 1)"""
+
+
+def _conditions(spark, d) -> DataFrame:
+    x = table(spark, d, "lineitem").select((F.col("l_discount") >= 0.05).alias("a"), (F.col("l_quantity") >= 25).alias("b"), (F.col("l_tax") >= 0.04).alias("c"), (F.col("l_linestatus") == "F").alias("f"), (F.col("l_returnflag") == "R").alias("outcome"))
+    return frames.conditions(x, ["a", "b", "c", "f"], "outcome")
+
+
+@query(f"WITH {COND} SELECT mask, n, with_outcome, n = with_outcome AS sufficient FROM t")
+def conditions_table(spark, d):
+    return _conditions(spark, d)
+
+
+@query(f"WITH {COND}, g AS (SELECT mask FROM t WHERE n = with_outcome) SELECT mask FROM g WHERE NOT EXISTS (SELECT 1 FROM g s WHERE s.mask <> g.mask AND (s.mask & g.mask) = s.mask)")
+def minimal_conditions(spark, d):
+    return frames.minimal_sufficient(_conditions(spark, d))
+
+
+BEARING = """e AS (SELECT 'o' || l_orderkey AS src, 'p' || (l_partkey % 20) AS dst, CASE WHEN l_returnflag = 'R' THEN 'attack' ELSE 'support' END AS kind FROM lineitem WHERE l_orderkey % 10 = 0),
+cells AS (SELECT src AS row_id, dst AS account, CASE WHEN count(DISTINCT kind) > 1 THEN 'both' WHEN min(kind) = 'support' THEN 'for' ELSE 'against' END AS cell FROM e GROUP BY 1, 2)"""
+
+
+def _bearing(spark, d) -> DataFrame:
+    e = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), F.col("l_partkey") % 20).alias("dst"), F.when(F.col("l_returnflag") == "R", "attack").otherwise("support").alias("kind"))
+    return frames.bearing(e, e.select(F.col("dst").alias("account")).distinct())
+
+
+@query(f"WITH {BEARING} SELECT * FROM cells")
+def account_matrix(spark, d):
+    return _bearing(spark, d)
+
+
+@query(f"WITH {BEARING} SELECT row_id, CASE WHEN count(*) < 2 THEN 'one' WHEN count(DISTINCT cell) = 1 AND max(cell) <> 'both' THEN 'alike' ELSE 'apart' END AS kind FROM cells GROUP BY 1")
+def account_rows(spark, d):
+    return frames.rows_of(_bearing(spark, d))
+
+
+# ---------------------------------------------------------------- signs
+@query("""WITH m AS (SELECT n_regionkey AS region, c_nationkey AS nation, date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2, 3),
+s AS (SELECT region, nation, month, v - lag(v) OVER (PARTITION BY nation ORDER BY month) AS d FROM m)
+SELECT region, nation, count(*) FILTER (d > 0) AS rises, count(*) FILTER (d < 0) AS falls, CASE WHEN count(*) FILTER (d < 0) % 2 = 1 THEN '-' ELSE '+' END AS net FROM s WHERE d IS NOT NULL GROUP BY 1, 2""")
+def sign_product(spark, d):
+    m = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    m = m.groupBy(F.col("n_regionkey").alias("region"), F.col("c_nationkey").alias("nation"), F.date_trunc("month", "o_orderdate").alias("month")).agg(F.sum("o_totalprice").alias("v"))
+    s = m.withColumn("d", F.col("v") - F.lag("v").over(Window.partitionBy("nation").orderBy("month"))).filter("d IS NOT NULL")
+    return s.groupBy("region", "nation").agg(F.count_if(F.col("d") > 0).alias("rises"), F.count_if(F.col("d") < 0).alias("falls"), F.when(F.count_if(F.col("d") < 0) % 2 == 1, "-").otherwise("+").alias("net"))
