@@ -36,7 +36,7 @@ def folded(text: Column) -> Column:
 def quote_parts(quote: Column) -> Column:
     """A quotation cut at its elisions; parts under four characters are dropped."""
     q = F.regexp_replace(F.trim(normalise(quote)), r"\.{3,} *$", "")
-    return F.filter(F.transform(F.split(q, r" *\.{3,} *"), F.trim), lambda p: F.length(p) >= 4)
+    return F.filter(F.transform(F.split(q, r" *\.{3,} *"), lambda p: F.trim(p)), lambda p: F.length(p) >= 4)
 
 
 def content_words(text: Column) -> Column:
@@ -53,7 +53,7 @@ def recall(want: Column, have: Column) -> Column:
 def sentences(text: Column, least: int = 30) -> Column:
     """Sentences of at least that many characters."""
     parts = F.split(F.trim(F.coalesce(text, F.lit(""))), "(?<=[.!?])[\"”’)]?\\s+(?=[A-Z“\"(])")
-    return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= least)
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda s: F.length(s) >= least)
 
 
 def verbatim(quote: Column, source: Column, least: int = 30) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import logic, similar
 from ..functions import text as tx
-from ..operators import frames, graph, ledger, lines, quotes, suppose
-from .tables import SMALL_ROWS, table  # noqa: F401
+from ..operators import frames, graph, ledger, lines, mechanism, quotes, suppose
+from .tables import small, table
 
 FLAGSHIP = "check_quotations"
 QUERIES: dict = {}
@@ -437,3 +438,56 @@ def sign_product(spark, d):
     m = m.groupBy(F.col("n_regionkey").alias("region"), F.col("c_nationkey").alias("nation"), F.date_trunc("month", "o_orderdate").alias("month")).agg(F.sum("o_totalprice").alias("v"))
     s = m.withColumn("d", F.col("v") - F.lag("v").over(Window.partitionBy("nation").orderBy("month"))).filter("d IS NOT NULL")
     return s.groupBy("region", "nation").agg(F.count_if(F.col("d") > 0).alias("rises"), F.count_if(F.col("d") < 0).alias("falls"), F.when(F.count_if(F.col("d") < 0) % 2 == 1, "-").otherwise("+").alias("net"))
+
+
+# ---------------------------------------------------------------- near matches, chains, steps
+@query()
+def near_quotations(spark, d):
+    """Benchmark passages that a paragraph holds most words of, by the likeness of their best window. Rows only: the ratio has no SQL."""
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    near = quotes.scored(items, docs, "item_id", "doc_id", "text").filter("score >= 0.6").select(F.col("claim_id").alias("quote_id"), "source_id", "line")
+    body = quotes.paragraphs(docs).select("source_id", "line", tx.folded(F.col("paragraph")).alias("body"))
+    asked = items.select(F.col("item_id").alias("quote_id"), tx.folded(F.col("text")).alias("quote"))
+    return similar.near_quotations(near.join(body, ["source_id", "line"]).join(small(asked), "quote_id"))
+
+
+CHAINS = """states AS (SELECT DISTINCT c_mktsegment AS map_id, 'n' || c_nationkey AS id, CASE WHEN c_nationkey < 3 THEN 'intervention' WHEN c_nationkey > 21 THEN 'outcome' END AS role FROM customer),
+links AS (SELECT DISTINCT c_mktsegment AS map_id, 'n' || c_nationkey AS src, 'n' || (c_nationkey * 7 + 3) % 25 AS dst FROM customer WHERE c_nationkey <> (c_nationkey * 7 + 3) % 25 AND c_acctbal > 9000)"""
+
+
+def _chains(spark, d) -> tuple[DataFrame, DataFrame]:
+    c, n = table(spark, d, "customer"), F.col("c_nationkey")
+    role = F.when(n < 3, "intervention").when(n > 21, "outcome")
+    states = c.select(F.col("c_mktsegment").alias("map_id"), F.concat(F.lit("n"), n).alias("id"), role.alias("role")).distinct()
+    to = (n * 7 + 3) % 25
+    empty = F.array().cast("array<string>")
+    steps = c.filter((n != to) & (F.col("c_acctbal") > 9000)).select(F.col("c_mktsegment").alias("map_id"), F.concat(F.lit("n"), n).alias("src"), F.concat(F.lit("n"), to).alias("dst")).distinct()
+    return states, steps.select("*", F.lit("+").alias("sign"), F.lit("").alias("regime"), empty.alias("jointly"), empty.alias("unless"))
+
+
+@query(f"""WITH RECURSIVE {CHAINS},
+start AS (SELECT DISTINCT l.map_id, src AS node FROM links l WHERE EXISTS (SELECT 1 FROM states s WHERE s.map_id = l.map_id AND s.id = src AND role = 'intervention') OR (NOT EXISTS (SELECT 1 FROM links k WHERE k.map_id = l.map_id AND k.dst = l.src) AND EXISTS (SELECT 1 FROM states s WHERE s.map_id = l.map_id AND s.id = src))),
+r AS (SELECT map_id, node FROM start UNION SELECT r.map_id, dst FROM r JOIN links l ON l.map_id = r.map_id AND l.src = r.node)
+SELECT map_id, 'unlinked-intervention' AS kind, id AS state FROM states s WHERE role = 'intervention' AND NOT EXISTS (SELECT 1 FROM links l WHERE l.map_id = s.map_id AND l.src = s.id)
+UNION ALL SELECT map_id, 'unreached-outcome', id FROM states s WHERE role = 'outcome' AND NOT EXISTS (SELECT 1 FROM r WHERE r.map_id = s.map_id AND r.node = s.id)
+UNION ALL SELECT map_id, 'dead-end', id FROM states s WHERE coalesce(role, '') <> 'outcome' AND EXISTS (SELECT 1 FROM links l WHERE l.map_id = s.map_id AND l.dst = s.id) AND NOT EXISTS (SELECT 1 FROM links l WHERE l.map_id = s.map_id AND l.src = s.id)""")
+def chain_gaps(spark, d):
+    return mechanism.gaps(*_chains(spark, d))
+
+
+@query(f"""WITH RECURSIVE {CHAINS},
+r AS (SELECT map_id, id AS node FROM states s WHERE id <> 'n1' AND NOT EXISTS (SELECT 1 FROM links l WHERE l.map_id = s.map_id AND l.dst = s.id)
+ UNION SELECT r.map_id, dst FROM r JOIN links l ON l.map_id = r.map_id AND l.src = r.node WHERE dst <> 'n1')
+SELECT map_id, count(*) AS reached FROM r GROUP BY 1""")
+def suppose_state_fails(spark, d):
+    states, steps = _chains(spark, d)
+    return mechanism.firing(states, steps, fails=states.filter("id = 'n1'").select("map_id", "id")).groupBy("map_id").agg(F.count("*").alias("reached"))
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, o_orderstatus <> 'F' OR o_orderpriority LIKE '1%' AS valid, count(*) AS n FROM orders GROUP BY 1, 2, 3""")
+def step_validity(spark, d):
+    """A formalised step per order: fulfilled orders affirm the consequent unless they are urgent."""
+    o = table(spark, d, "orders")
+    good = (F.col("o_orderstatus") != "F") | F.startswith("o_orderpriority", F.lit("1"))
+    kinds = o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")).withColumn("premises", F.when(good, F.array(F.lit("p -> q"), F.lit("p"))).otherwise(F.array(F.lit("p -> q"), F.lit("q"))))
+    return kinds.withColumn("v", logic.decided(F.col("premises"), F.when(good, "q").otherwise("p"))).select("o_orderstatus", "o_orderpriority", "v.valid", "n")
