@@ -1 +1,8 @@
 """Argument, text and causal-chain analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+#: Worker functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import logic, similar
+from ..functions import cleaning, logic, similar
 from ..functions import text as tx
 from ..operators import frames, graph, ledger, lines, mechanism, quotes, suppose
 from .tables import small, table
@@ -491,3 +491,20 @@ def step_validity(spark, d):
     good = (F.col("o_orderstatus") != "F") | F.startswith("o_orderpriority", F.lit("1"))
     kinds = o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")).withColumn("premises", F.when(good, F.array(F.lit("p -> q"), F.lit("p"))).otherwise(F.array(F.lit("p -> q"), F.lit("q"))))
     return kinds.withColumn("v", logic.decided(F.col("premises"), F.when(good, "q").otherwise("p"))).select("o_orderstatus", "o_orderpriority", "v.valid", "n")
+
+
+# ---------------------------------------------------------------- cleaning
+@query(f"""WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, (CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END - 60 * len(regexp_extract_all(t, '{cleaning.LETTER_SOUP}')))::INT AS quality FROM f""")
+def conversion_quality(spark, d):
+    return table(spark, d, "documents").select("doc_id", cleaning.quality(F.col("text")).alias("quality"))
+
+
+@query("""SELECT p_partkey, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(p_name, '')), '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), 64), '-+$', ''), ''), 'source') AS slug FROM part""")
+def slugs(spark, d):
+    return table(spark, d, "part").select("p_partkey", cleaning.slug(F.col("p_name")).alias("slug"))
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{cleaning.ASSET}', '{cleaning.STUB}', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '(?im){cleaning.STAMP[5:]}', '', 'g')) AS text_md5 FROM documents""")
+def cleaned_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(cleaning.cleaned(F.col("text"))).alias("text_md5"))
