@@ -1,16 +1,20 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
-A document is the set of its distinct n-word shingles. Two sets of similarity t or more share a token among the first
-|s| - ceil(t |s|) + 1 of each, under any order of all tokens. The first order puts shingles that many documents have last
-(their counts are taken over all documents) and is otherwise a hash; the others are hashes with other seeds. Candidates
-come from the postings of the first order, and must share a prefix token under every other order before they are verified
-by exact counts.
+A document is the set of its distinct n-word shingles. Under any order of all tokens, two sets of similarity t or more share
+a token among the first p = |s| - ceil(t |s|) + 1 of each; among the first p + e they share e + 1. Orders are intersected:
+
+* order A is a hash. It cuts each set to its first p + e tokens, with e = p / 2;
+* order B puts rare tokens first, by how many sets have them among those (counted over all documents). Similar sets share
+  e + 1 of the p + e tokens, so they share one of the first p under order B. Tokens of one set only, most of all, come
+  first there and can meet nobody, so sets that merely share a common passage are out;
+* the orders C and D are other hashes; a candidate must share a prefix token under them too before it is verified by exact
+  counts.
 
 Groups of copies are not expanded into pairs. Equal sets are one node. In each posting list every document is compared with
 one pivot b only. For two members x and y the list is still exact, because of this: write dx, dy for their differences from
 b. If x and y are similar but not both similar to b, then dx and dy must share at least
 (wx + wy - (1 - t) |b|) / (1 + t) tokens, where w = |b - x| + t |x - b|. So what remains is an overlap join of the small
-difference sets under the same pivot, again by prefixes, with tokens outside b first. Members that are both similar to b
+difference sets under the same pivot, again by prefixes with rare tokens first. Members that are both similar to b
 are in one component already. Components are found by star contraction.
 
 Defined results: a null text, or one without words, has the empty set, and is linked with nothing; a text of fewer words
@@ -25,18 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, WordHashes, binaries, ceil_div, member_filter, mixed, passes, saved, sliced, without
 from .components import smallest_reachable
 
-#: Similarity as a fraction, words in a shingle, orders.
+#: Similarity as a fraction, words in a shingle, hash orders.
 SIMILARITY, WORDS, ORDERS = (9, 10), 3, 3
-#: A shingle is frequent from this share of all documents; there are at most (shingles per document) / FREQUENT of them.
-FREQUENT = 0.004
-#: Shingles that are counted together in a worker before it forgets the rare ones.
-COUNTED = 2_000_000
 
 
 class Shingler:
@@ -51,82 +51,43 @@ class Shingler:
 
 
 class Order:
-    """A global order of shingles: frequent ones last, by count; else by a hash."""
+    """A global order of shingles by a hash."""
 
-    def __init__(self, seed: int, frequent: np.ndarray) -> None:
-        self.seed, self.frequent = np.uint64(xxhash.xxh3_64_intdigest(f"order {seed}")), np.sort(frequent)
-        self.rank = dict(zip(frequent.tolist(), range(len(frequent)), strict=True))  # by rising count
+    def __init__(self, seed: int) -> None:
+        self.seed = np.uint64(xxhash.xxh3_64_intdigest(f"order {seed}"))
 
     def prefix(self, tokens: np.ndarray, size: int) -> np.ndarray:
-        key = mixed(tokens ^ self.seed) >> np.uint64(1)
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
-            for i in np.flatnonzero(self.frequent[at] == tokens):
-                key[i] = np.uint64(2**63 + self.rank[int(tokens[i])])
-        return tokens[np.argsort(key, kind="stable")[:size]]
+        return tokens[np.argsort(mixed(tokens ^ self.seed), kind="stable")[:size]]
 
 
 def prefix_size(n: int, p: int, q: int) -> int:
     return n - ceil_div(p * n, q) + 1
 
 
-def frequent_shingles(docs: DataFrame, k: int, share: float = FREQUENT) -> np.ndarray:
-    """Shingles of at least that share of all documents, by rising count. A shingle that is as frequent as that in all documents is so in
-    some chunk of them, so each chunk names only its own frequent ones."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k)
-        sets: list[np.ndarray] = []
-        rows = 0
-
-        def named() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate([*sets, np.empty(0, dtype=np.uint64)]), return_counts=True)
-            keep = n >= max(2, share * rows)
-            return pa.RecordBatch.from_arrays([pa.array([0, *tokens[keep].view(np.int64)], pa.int64()), pa.array([0, *n[keep]], pa.int64()), pa.array([rows] + [0] * int(keep.sum()), pa.int64())], ["token", "n", "docs"])
-
-        size = 0
-        for batch in sliced(batches, "text"):
-            for text in binaries(batch.column(0)):
-                sets.append(shingler.of(text))
-                size, rows = size + len(sets[-1]), rows + 1
-            if size > COUNTED:
-                yield named()
-                sets, size, rows = [], 0, 0
-        yield named()
-
-    named = saved(docs.select("text").mapInArrow(count, "token long, n long, docs long"), "counts")
-    least = share * (named.agg(F.sum("docs")).first()[0] or 0)
-    rows = named.filter("n > 0").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2.0, least)).orderBy("n", "token").toArrow()
-    return rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, orders: int = ORDERS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     p, q = similarity
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    frequent = frequent_shingles(docs, words)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, order = Shingler(words), Order(0, frequent)
+        shingler, order = Shingler(words), Order(0)
         for batch in sliced(batches, "text"):
             n, signatures, prefixes = [], [], []
             for text in binaries(batch.column(1)):
                 tokens = shingler.of(text)
                 n.append(len(tokens))
                 signatures.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                prefixes.append(order.prefix(tokens, prefix_size(len(tokens), p, q)).view(np.int64) if len(tokens) else np.empty(0, dtype=np.int64))
+                prefixes.append(order.prefix(tokens, 3 * prefix_size(len(tokens), p, q) // 2).view(np.int64) if len(tokens) else np.empty(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(signatures, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "signature", "prefix"])
 
     described = saved(docs.mapInArrow(describe, "id long, n long, signature binary, prefix array<long>"), "sets")
     own = described.filter("n > 0 AND id IS NOT NULL")
     classes = saved(own.groupBy("signature").agg(F.min("id").alias("node")), "classes")
-    first = own.join(classes, "signature").filter("id = node").select("node", "prefix")
-    postings = first.select("node", F.explode("prefix").alias("token"))
-    live_tokens = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
-    live = saved(postings.join(live_tokens, "token"), "live")
-    links = saved(linked(docs, pivots(live), words, similarity, orders, frequent), "links")
+    first = own.join(classes, "signature").filter("id = node").select("node", F.expr(f"n - div(n * {p} + {q - 1}, {q}) + 1").alias("p"), "prefix")
+    live = saved(rare_first(first), "live")
+    links = saved(linked(docs, pivots(live), words, similarity, orders), "links")
     near = saved(links.filter("linked").select("a", "b"), "near")
-    near = near.unionByName(saved(linked(docs, differing(links), words, similarity, orders, frequent).filter("linked").select("a", "b"), "nearer"))
+    near = near.unionByName(saved(linked(docs, differing(links), words, similarity, orders).filter("linked").select("a", "b"), "nearer"))
     # rows that repeat an id join the classes of their texts
     alike = own.select("id", "signature").join(classes, "signature").filter("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     found = saved(smallest_reachable(near.unionByName(alike)), "components")
@@ -134,23 +95,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return every.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def rare_first(sets: DataFrame) -> DataFrame:
+    """(node, token): of sets (node, p, prefix), the first p tokens under the order that puts rare ones first, as far as two
+    nodes have them. Tokens that one node has alone are counted, not carried."""
+    postings = sets.select("node", "p", F.size("prefix").alias("size"), F.explode("prefix").alias("token"))
+    counts = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token", "df")
+    met = saved(postings.join(counts, "token"), "met")
+    row = Window.partitionBy("node").orderBy("df", "token")
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("node"))
+    kept = met.withColumn("place", alone + F.row_number().over(row)).filter("place <= p").select("node", "token")
+    again = kept.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
+    return kept.join(again, "token").select("node", "token")
+
+
 def pivots(live: DataFrame) -> DataFrame:
-    """(a, b): every member of a posting list with the list's pivot, the member with the most live tokens."""
+    """(a, b): every member of a posting list with the list's pivot, the member with the most live tokens. Any set may be the pivot
+    of a list, so a pivot that is itself under one with more members hands its lists to that one: a family of copies gets
+    one pivot, which is compared with each copy once."""
     weight = live.groupBy("node").agg(F.count("*").alias("w"))
     best = live.join(weight, "node").groupBy("token").agg(F.max(F.struct("w", (-F.col("node")).alias("m"))).alias("x")).select("token", (-F.col("x.m")).alias("b"))
-    return live.select("token", F.col("node").alias("a")).join(best, "token").filter("a <> b").select("a", "b").distinct()
+    members = saved(live.select("token", F.col("node").alias("a")).join(best, "token").select("a", "b").distinct(), "members")
+    sizes = members.groupBy("b").agg(F.count("*").alias("n"))
+    above = members.join(sizes, "b").join(sizes.select(F.col("b").alias("a")), "a", "left_semi")
+    up = saved(above.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("m"))).alias("x")).select(F.col("a").alias("b"), (-F.col("x.m")).alias("up")), "up")
+    top = up.join(up.select(F.col("b").alias("up"), F.col("up").alias("top")), "up").select("b", "top")
+    return members.join(top, "b").select("a", F.col("top").alias("b")).filter("a <> b").distinct()
 
 
 def differing(links: DataFrame) -> DataFrame:
-    """(a, b): pairs under one pivot whose differences from it share a token as the overlap join asks for."""
-    wide = links.filter("size(wide) > 0").select(F.col("b").alias("pivot"), F.col("a").alias("x"), F.explode("wide").alias("token"))
-    narrow = links.select(F.col("b").alias("pivot"), F.col("a").alias("y"), F.explode("narrow").alias("token"))
-    return wide.join(narrow, ["pivot", "token"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def linked(docs: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int, int], orders: int, frequent: np.ndarray) -> DataFrame:
-    """Of each pair: whether it is similar, and the prefixes of the difference of a from b: `narrow`, for a partner that is not similar to
-    b, and `wide`, for any partner if a is not similar to b itself."""
+    """(a, b): pairs under one pivot whose differences from it share a token as the overlap join asks for: under the pivot's own order,
+    which puts rare tokens first, among the first `wide` of one and the first `narrow` of the other."""
+    open_pivots = links.filter("wide > 0").select("b").distinct()
+    rows = links.join(open_pivots, "b", "left_semi")
+    postings = rows.select("a", "b", "narrow", "wide", F.size("delta").alias("size"), F.explode("delta").alias("token"))
+    counts = postings.groupBy("b", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    row = Window.partitionBy("a", "b").orderBy("df", "token")
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("a", "b"))
+    placed = saved(postings.join(counts, ["b", "token"]).withColumn("place", alone + F.row_number().over(row)).filter("place <= greatest(narrow, wide)"), "placed")
+    wide = placed.filter("place <= wide").select("b", "token", F.col("a").alias("x"))
+    narrow = placed.filter("place <= narrow").select("b", "token", F.col("a").alias("y"))
+    return wide.join(narrow, ["b", "token"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int, int], orders: int) -> DataFrame:
+    """Of each pair: whether it is similar, the difference of a from b, and how long its prefixes are: `narrow`, for a partner that is
+    not similar to b, and `wide`, for any partner if a is not similar to b itself (else 0)."""
     p, q = similarity
     pairs = saved(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -161,9 +150,8 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int,
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        every = [Order(k, frequent) for k in range(orders)]
+        every = [Order(k) for k in range(orders)]
         known: tuple[bytes | None, np.ndarray, list] = (None, np.empty(0), [])
-        difference = Order(orders, np.empty(0, dtype=np.uint64))
         for batch in sliced(batches, "text_a", 1_000_000):
             out = []
             for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binaries(batch.column(2)), binaries(batch.column(3)), strict=True):
@@ -176,17 +164,17 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, similarity: tuple[int,
                 both = int(inside.sum())
                 similar = shares and q * both >= p * (len(x) + len(y) - both)
                 added, missing = x[~inside], y[~np.isin(y, x, assume_unique=True)]
-                ordered = np.concatenate([difference.prefix(added, len(added)), difference.prefix(missing, len(missing))])
                 w = q * len(missing) + p * len(added)  # q times the weight of the difference
+                size = len(missing) + len(added)
                 least = max(1, ceil_div(w + max(0, w - (q - p) * q * len(x) // p - 1) - (q - p) * len(y), q + p))
-                far = least if not similar else 1
-                narrow = ordered[: max(0, len(ordered) - max(far, w // (q + p) + 1) + 1)]
-                wide = ordered[: max(0, len(ordered) - least + 1)] if not similar else ordered[:0]
-                out.append((a, b, similar, narrow.view(np.int64), wide.view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "linked", "narrow", "wide"])
-
-    return rows.mapInArrow(verify, "a long, b long, linked boolean, narrow array<long>, wide array<long>")
+                far = 1 if similar else least
+                narrow = max(0, size - max(far, w // (q + p) + 1) + 1)
+                wide = 0 if similar else max(0, size - least + 1)
+                out.append((a, b, similar, np.concatenate([added, missing]).view(np.int64), narrow, wide))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "b", "linked", "delta", "narrow", "wide"])
+
+    return rows.mapInArrow(verify, "a long, b long, linked boolean, delta array<long>, narrow int, wide int")
 
 
 def holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
