@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, logic, similar
 from ..functions import text as tx
-from ..operators import frames, graph, ledger, lines, mechanism, quotes, suppose
+from ..operators import collate, frames, graph, ledger, lines, mechanism, quotes, suppose
 from .tables import small, table
 
 FLAGSHIP = "check_quotations"
@@ -508,3 +508,12 @@ def slugs(spark, d):
 @query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{cleaning.ASSET}', '{cleaning.STUB}', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '(?im){cleaning.STAMP[5:]}', '', 'g')) AS text_md5 FROM documents""")
 def cleaned_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(cleaning.cleaned(F.col("text"))).alias("text_md5"))
+
+
+@query()
+def witness_agreement(spark, d):
+    """Documents that begin with the same long line, each against the first of them. Rows only: an alignment has no SQL."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("head")).filter("length(head) >= 40")
+    first = docs.groupBy("head").agg(F.min("doc_id").alias("a"), F.min_by("text", "doc_id").alias("text_a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return collate.agreement(docs.join(first, "head").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), "text_a", F.col("text").alias("text_b")))
+
