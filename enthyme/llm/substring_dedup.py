@@ -37,6 +37,22 @@ WINDOW, PHRASE = 50, 8
 BUCKET_BYTES = 8_000_000
 
 
+#: Windows that are searched together: their places fit into 16 bits.
+BLOCK = 1 << 15
+
+
+def leftmost_min(values: np.ndarray, wide: int) -> np.ndarray:
+    """Where the smallest of each `wide` consecutive values is, the leftmost if equal. The low 16 bits of the values are 0 and take
+    the places, so that minima of twice the width come from two of the last."""
+    low = values | np.arange(len(values), dtype=np.uint64)
+    have = 1
+    while have < wide:
+        step = min(have, wide - have)
+        low = np.minimum(low[:-step], low[step:])
+        have += step
+    return (low & np.uint64(0xFFFF)).astype(np.int64)
+
+
 class Reader:
     """Words, phrases and windows of a text."""
 
@@ -49,9 +65,10 @@ class Reader:
         h = self.hashes.of(text.split())
         if len(h) < self.window:
             return h, np.empty(0, dtype=np.int64)
-        runs = self.rolling.runs(h, self.phrase)
-        view = np.lib.stride_tricks.sliding_window_view(runs, self.window - self.phrase + 1)
-        return h, np.arange(len(view)) + view.argmin(axis=1)
+        runs = self.rolling.runs(h, self.phrase) & ~np.uint64(0xFFFF)
+        wide = self.window - self.phrase + 1
+        places = [start + leftmost_min(runs[start : start + BLOCK + wide - 1], wide) for start in range(0, len(runs) - wide + 1, BLOCK)]
+        return h, np.concatenate(places)
 
     @staticmethod
     def symbols(h: np.ndarray) -> str:
@@ -110,10 +127,11 @@ def locate(window: int):
     names = ["phrase", "id", "leads", "start", "offset", "windows"]
 
     def run(documents: pa.Table, shard: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        parts: list[tuple] = []
         automaton = ahocorasick.Automaton()
-        for phrase, first in zip(shard.column("phrase").to_pylist(), shard.column("first").to_pylist(), strict=True):
-            automaton.add_word(phrase, first)
+        firsts = shard.column("first").to_numpy()
+        for k, phrase in enumerate(shard.column("phrase").to_pylist()):
+            automaton.add_word(phrase, k)
         reader = Reader(window)
         if len(automaton) and documents.num_rows:
             automaton.make_automaton()
@@ -121,17 +139,25 @@ def locate(window: int):
                 h, at = reader.read(text)
                 if not len(at):
                     continue
-                hits = {end - reader.phrase + 1: first for end, first in automaton.iter(reader.symbols(h))}
-                if not hits:
+                hits = np.array([(end, k) for end, k in automaton.iter(reader.symbols(h))], dtype=np.int64).reshape(-1, 2)
+                if not len(hits):
+                    continue
+                which = np.full(len(h), -1, dtype=np.int64)
+                which[hits[:, 0] - reader.phrase + 1] = hits[:, 1]
+                begins = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+                lengths = np.diff(np.concatenate([begins, [len(at)]]))
+                here = which[at[begins]] >= 0
+                if not here.any():
                     continue
-                whole, keys = reader.rolling.runs(h, reader.window).view(np.int64), reader.rolling.runs(h, reader.phrase).view(np.int64)
-                cuts = np.flatnonzero(np.diff(at)) + 1
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
-                    p = int(at[a])
-                    if p in hits:
-                        out.append((int(keys[p]), i, hits[p] == i, a, p - a, whole[a:b]))
-        columns = list(zip(*out, strict=True)) or [()] * len(names)
-        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+                begins, size, places = begins[here], lengths[here], at[begins[here]]
+                values = reader.rolling.runs(h, reader.window).view(np.int64)[np.repeat(here, lengths)]
+                keys = reader.rolling.runs(h, reader.phrase).view(np.int64)[places]
+                parts.append((keys, np.full(len(keys), i, dtype=np.int64), firsts[which[places]] == i, begins, places - begins, size, values))
+        if not parts:
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+        *flat, size, values = (np.concatenate(c) for c in zip(*parts, strict=True))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values))
+        return pa.Table.from_arrays([*(pa.array(c) for c in flat), lists], names)
 
     return run
 
@@ -139,19 +165,27 @@ def locate(window: int):
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows equal to the leader's at the same place beside the phrase, as runs (window null); others one by one."""
     for batch in batches:
-        out: list[tuple] = []
-        for phrase, i, leads, start, offset, windows, l_offset, l_windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            mine, theirs, shift = np.array(windows), np.array(l_windows), l_offset - offset
-            lo, hi = max(0, -shift), min(len(mine), len(theirs) - shift)
-            equal = np.zeros(len(mine) + 2, dtype=bool)
-            if lo < hi:
-                equal[1 + lo : 1 + hi] = mine[lo:hi] == theirs[lo + shift : hi + shift]
-            if not leads:
-                edges = np.flatnonzero(np.diff(equal))
-                out += [(phrase, i, start + a, b - a, None) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-            out += [(phrase, i, start + j, 1, windows[j]) for j in np.flatnonzero(~equal[1:-1]).tolist()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["phrase", "id", "start", "n", "window"])
+        if not batch.num_rows:
+            continue
+        phrase, i, leads, start, offset = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
+        mine, theirs, l_offset = batch.column(5), batch.column(7), batch.column(6).to_numpy(zero_copy_only=False)
+        size, l_size = (np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (mine, theirs))
+        values, l_values = mine.flatten().to_numpy(), theirs.flatten().to_numpy()
+        ends = np.cumsum(size)
+        row = np.repeat(np.arange(len(size)), size)
+        j = np.arange(len(values)) - np.repeat(ends - size, size)  # place in the row
+        there = j + (l_offset - offset)[row]
+        inside = (there >= 0) & (there < l_size[row])
+        equal = np.zeros(len(values), dtype=bool)
+        equal[inside] = values[inside] == l_values[(np.cumsum(l_size) - l_size)[row[inside]] + there[inside]]
+        # runs of equal windows within a row, except in the leader itself
+        gone = equal & ~leads.astype(bool)[row]
+        before, after = np.concatenate([[False], gone[:-1]]), np.concatenate([gone[1:], [False]])
+        opens, shuts = np.flatnonzero(gone & (~before | (j == 0))), np.flatnonzero(gone & (~after | (j == size[row] - 1)))
+        for at, n, window in ((opens, shuts - opens + 1, None), (o := np.flatnonzero(~equal), np.ones(len(o), dtype=np.int64), values[o])):
+            r = row[at]
+            named = pa.nulls(len(at), pa.int64()) if window is None else pa.array(window, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(phrase[r], pa.int64()), pa.array(i[r], pa.int64()), pa.array(start[r] + j[at], pa.int64()), pa.array(n, pa.int64()), named], ["phrase", "id", "start", "n", "window"])
 
 
 def settle(filter_words: np.ndarray):
