@@ -35,8 +35,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/enthyme-{sc.applicationId}"
 
 
-#: While this is set, Spark deletes the shuffle files of a query when the query has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While an intermediate table is written, Spark deletes the shuffle files of that query when it has ended, and hands rows to
+#: Python in small batches: a batch's texts are in memory together, and a long one may be in every row of a join.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -44,12 +45,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     recomputation of what led to it, and the shuffle files of what led to it can go."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.select("*").write.option("compression", "lz4").parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,7 +80,7 @@ def release(spark: SparkSession) -> None:
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash. Forgets everything at LIMIT entries, so that its memory is bounded."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
