@@ -5,8 +5,9 @@ a token among the first p = |s| - ceil(t |s|) + 1 of each; among the first p + e
 
 * order A is a hash. It cuts each set to its first p + e tokens, with e = p / 2;
 * order B puts rare tokens first, by how many sets have them among those (counted over all documents). Similar sets share
-  e + 1 of the p + e tokens, so they share one of the first p under order B. Tokens of one set only, most of all, come
-  first there and can meet nobody, so sets that merely share a common passage are out;
+  k of the p + e tokens, so they share one of the first p + e - k + 1 under order B. k is e + 1, and that place p, unless a
+  smaller partner's own p + e tokens are fewer (`second_prefix`). Tokens of one set only, most of all, come first there and
+  can meet nobody, so sets that merely share a common passage are out;
 * the orders C and D are other hashes; a candidate must share a prefix token under them too before it is verified by exact
   counts.
 
@@ -25,6 +26,7 @@ one document, linked if any of its texts is. An empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,22 @@ def prefix_size(n: int, p: int, q: int) -> int:
     return n - ceil_div(p * n, q) + 1
 
 
+def first_prefix(n: int, p: int, q: int) -> int:
+    """p + e tokens under order A."""
+    return min(n, 3 * prefix_size(n, p, q) // 2)
+
+
+@lru_cache(100_000)
+def second_prefix(n: int, p: int, q: int) -> int:
+    """Places under order B that hold a shared token with a similar set of any size m. The k-th token that two sets share comes
+    under order A at place n - o + k or before in one and m - o + k in the other, where o is the least overlap; so the first
+    tokens share the k that fit into both, and the foremost of these under order B has k - 1 of them behind it."""
+    m = np.arange(ceil_div(p * n, q), q * n // p + 1, dtype=np.int64)
+    own, other = first_prefix(n, p, q), np.minimum(m, 3 * (m + -p * m // q + 1) // 2)
+    o = -(-p * (n + m) // (p + q))
+    return int((own - np.minimum(own - n + o, other - m + o) + 1).max())
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, orders: int = ORDERS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     p, q = similarity
@@ -72,18 +90,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, order = Shingler(words), Order(0)
         for batch in sliced(batches, "text"):
-            n, signatures, prefixes = [], [], []
+            n, signatures, prefixes, places = [], [], [], []
             for text in binaries(batch.column(1)):
                 tokens = shingler.of(text)
                 n.append(len(tokens))
                 signatures.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                prefixes.append(order.prefix(tokens, 3 * prefix_size(len(tokens), p, q) // 2).view(np.int64) if len(tokens) else np.empty(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(signatures, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "signature", "prefix"])
+                prefixes.append(order.prefix(tokens, first_prefix(len(tokens), p, q)).view(np.int64) if len(tokens) else np.empty(0, dtype=np.int64))
+                places.append(second_prefix(len(tokens), p, q) if len(tokens) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(signatures, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(places, pa.int64())], ["id", "n", "signature", "prefix", "p"])
 
-    described = saved(docs.mapInArrow(describe, "id long, n long, signature binary, prefix array<long>"), "sets")
+    described = saved(docs.mapInArrow(describe, "id long, n long, signature binary, prefix array<long>, p long"), "sets")
     own = described.filter("n > 0 AND id IS NOT NULL")
     classes = saved(own.groupBy("signature").agg(F.min("id").alias("node")), "classes")
-    first = own.join(classes, "signature").filter("id = node").select("node", F.expr(f"n - div(n * {p} + {q - 1}, {q}) + 1").alias("p"), "prefix")
+    first = own.join(classes, "signature").filter("id = node").select("node", "p", "prefix")
     live = saved(rare_first(first), "live")
     links = saved(linked(docs, pivots(live), words, similarity, orders), "links")
     near = saved(links.filter("linked").select("a", "b"), "near")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from enthyme.llm.components import smallest_reachable
-from enthyme.llm.ngram_join import jaccard_components, one_of_each
+from enthyme.llm.ngram_join import first_prefix, jaccard_components, one_of_each, second_prefix
 
 
 def sets(rows, k):
@@ -70,6 +70,36 @@ def test_components_against_brute_force(documents, k, p, q, seed):
     assert all(r.n_shingles == len(known[i][0]) for i, r in got.items())
 
 
+def alone(tag, count, n):
+    """Pairs of a text of n words and the same without its last word; no two pairs share a word."""
+    out = []
+    for i in range(count):
+        w = [f"{tag}{i}x{j}" for j in range(n)]
+        out += [" ".join(w), " ".join(w[:-1])]
+    return out
+
+
+@pytest.mark.parametrize(("k", "p", "q", "n"), [(3, 9, 10, 12), (5, 4, 5, 9)])
+def test_isolated_pairs_of_unlike_size(documents, k, p, q, n):
+    rows = list(enumerate(alone("u", 60, n) + alone("v", 20, 3 * n)))
+    want = brute(rows, k, p, q)
+    assert all(want[i] == i - i % 2 for i in want)
+    assert {r.doc_id: r.component_id for r in jaccard_components(documents(rows), words=k, similarity=(p, q)).collect()} == want
+
+
+@pytest.mark.parametrize(("p", "q"), [(9, 10), (4, 5), (1, 2), (2, 3)])
+def test_prefixes_are_long_enough(p, q):
+    """The worst two sets there are: as few shared tokens as similarity allows, all of them behind the others under both orders."""
+    for n in range(1, 120):
+        for m in range(-(-p * n // q), n + 1):
+            o = -(-p * (n + m) // (p + q))
+            if o > m:
+                continue
+            a, b = first_prefix(n, p, q), first_prefix(m, p, q)
+            both = min(o, a - (n - o), b - (m - o))
+            assert both >= 1 and a - both < second_prefix(n, p, q) and b - both < second_prefix(m, p, q)
+
+
 def test_odd_rows(documents):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "x y z u v w"), (5, "x y z u v w"), (None, "a b c d e f g"), (6, None), (7, ""), (8, "a " * 60_000)]
     df = documents(rows)
