@@ -269,14 +269,14 @@ def contribution(spark, d):
 nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 SELECT node, count(below) AS load FROM nodes LEFT JOIN p ON p.top = node GROUP BY 1""")
 def support_load(spark, d):
-    return graph.closure_sizes(_geography(spark, d).filter(F.substring("src", 1, 1).isin("n", "s")))
+    return graph.closure_sizes(_geography(spark, d))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || (l_partkey % 50) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 97 = 0),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, b FROM r JOIN both_ways ON a = seen)
 SELECT node, min(seen) AS component FROM r GROUP BY 1""")
 def pieces(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 97 = 0")
+    o = table(spark, d, "orders")
     e = o.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("dst"))
     return graph.components(e)
 
@@ -415,7 +415,7 @@ cells AS (SELECT src AS row_id, dst AS account, CASE WHEN count(DISTINCT kind) >
 
 
 def _bearing(spark, d) -> DataFrame:
-    e = table(spark, d, "lineitem").filter("l_orderkey % 10 = 0").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), F.col("l_partkey") % 20).alias("dst"), F.when(F.col("l_returnflag") == "R", "attack").otherwise("support").alias("kind"))
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), F.col("l_partkey") % 20).alias("dst"), F.when(F.col("l_returnflag") == "R", "attack").otherwise("support").alias("kind"))
     return frames.bearing(e, e.select(F.col("dst").alias("account")).distinct())
 
 
