@@ -6,6 +6,8 @@ grow and a lost executor costs one round. The number of rounds is the depth of t
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,13 +127,14 @@ def routes(steps: DataFrame, starts: DataFrame, goals: DataFrame, most: int = 8)
     return found
 
 
-def loops(steps: DataFrame, most: int = 8) -> DataFrame:
-    """(loop, signs): simple cycles of up to `most` steps, each once, from its smallest node."""
+def loops(steps: DataFrame, most: int | None = None) -> DataFrame:
+    """(loop, signs): simple cycles, of up to `most` steps if that is given, each once, from its smallest node. Without it the
+    search ends when no path grows, after as many rounds as there are nodes at most."""
     steps = steps.select("src", "dst", "sign").distinct()
     nodes = steps.select(F.col("src").alias("node")).distinct()
     paths = nodes.select(F.col("node").alias("start"), F.array("node").alias("path"), F.array().cast("array<string>").alias("signs"))
     found = None
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         grown = paths.withColumn("at", F.element_at("path", -1)).join(steps, F.col("at") == F.col("src"))
         grown = materialised(grown.filter(F.col("dst") >= F.col("start")).select("start", "path", "dst", F.concat("signs", F.array("sign")).alias("signs")))
         if grown.isEmpty():

@@ -305,7 +305,7 @@ def causal_routes(spark, d):
  SELECT start, dst, CASE WHEN dst = start THEN path ELSE list_append(path, dst) END, minus + (sign = '-')::INT, dst = start FROM r JOIN steps ON src = place WHERE NOT closed AND dst >= start AND (dst = start OR NOT list_contains(path, dst)) AND len(path) <= 4)
 SELECT array_to_string(path, '>') AS loop, CASE WHEN minus % 2 = 1 THEN 'balancing' ELSE 'reinforcing' END AS polarity FROM r WHERE closed AND len(path) <= 4""")
 def causal_loops(spark, d):
-    found = graph.loops(_transitions(spark, d), 4)
+    found = graph.loops(_transitions(spark, d))
     return found.select(F.array_join("loop", ">").alias("loop"), F.when(graph.net_sign(F.col("signs")) == "-", "balancing").otherwise("reinforcing").alias("polarity"))
 
 
