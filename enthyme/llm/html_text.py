@@ -3,12 +3,13 @@
 Markup is stripped into lines, one per block of text. Parts that are not the article (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts, styles) become empty lines, and the borders of a page's sections become runs of
 empty lines. Text lengths are summed over sliding windows of lines; where a sum rises from zero a region begins (surge),
-where it falls to zero the region ends (dive). Regions inside <article> or <main> are kept; without those, the region with
-the most text is kept, and others of at least a fifth of its text.
+where it falls to zero the region ends (dive). Regions inside <article> or <main> are kept; without those, all regions are.
+An <article> or <main> that stands in a part with such a name is read where no other is found, and the names of classes and
+ids are not heeded where nothing else is left of a page.
 
-Defined results: null or empty html gives an empty text; unclosed tags end with their parent; a page whose text is all in
-one short line gives that line. Repeated rows give repeated results; an empty table an empty one; other columns are not
-read.
+Defined results: null or empty html gives an empty text; unclosed tags end with their parent, and <head> with the
+first element or text of a body; a page whose text is all in one short line gives that line. Repeated rows give repeated
+results; an empty table an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,23 +40,37 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|skip|complementary|contentinfo|search|alert)(?:$|[\s_-])",
     re.I,
 )
+IN_HEAD = {"title", "meta", "link", "style", "script", "base", "noscript", "template"}
+#: How lines_of treats names of classes, ids and roles: they leave parts out, save articles in them, or leave nothing out.
+HEED, SPARE, IGNORE = range(3)
 #: A start tag of the key ends an open element of the value at the top of the open ones.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def marked(tag: str, attributes: str, in_article: bool) -> bool:
+def marked(tag: str, attributes: str, in_article: bool, names: int = HEED) -> bool:
     if tag in APART or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
-    return bool(HIDDEN.search(attributes)) or any(MARKS.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
+    return bool(HIDDEN.search(attributes)) or names != IGNORE and any(MARKS.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
 
 
 def lines_of(page: str) -> tuple[list[str], list[bool]]:
+    """The lines of a page, and whether each is inside <article> or <main>. Parts that are not the article are left out."""
+    lines, inside = read(page, HEED)
+    if not any(inside) and re.search(r"<(?:article|main)\b", page, re.I):
+        spared = read(page, SPARE)
+        if any(spared[1]):
+            return spared
+    return (lines, inside) if any(lines) else read(page, IGNORE)
+
+
+def read(page: str, names: int) -> tuple[list[str], list[bool]]:
     """The lines of a page, and whether each is inside <article> or <main>. Parts that are not the article are left out."""
     lines: list[str] = []
     inside: list[bool] = []
     open_tags: list[tuple[str, bool, bool]] = []  # tag, left out, in article
+    hidden: list[bool] = []  # of the open tags
     buffer: list[str] = []
 
     def flush() -> None:
@@ -80,11 +95,14 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
             elif tag in BLOCK and not out:
                 flush()
             open_tags.pop()
+            hidden.pop()
 
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
+        if open_tags and open_tags[-1][0] == "head" and text.strip():
+            shut(1)
         if not (open_tags and open_tags[-1][1]):
             buffer.append(text)
         if not m:
@@ -104,6 +122,8 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
                 if tag in BLOCK:
                     flush()
             continue
+        if open_tags and open_tags[-1][0] == "head" and tag not in IN_HEAD:
+            shut(1)
         out, article = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             if not out:
@@ -121,13 +141,16 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = stop.end() if stop else len(page) if tag in ("script", "style") else at
             continue
-        leave = out or marked(tag, attributes, article)
+        if names == SPARE and out and not article and tag in ("article", "main") and not any(hidden):
+            out = False
+        leave = out or marked(tag, attributes, article, names)
         if not out:
             if tag in SECTION or leave:
                 part()
             elif tag in BLOCK:
                 flush()
         open_tags.append((tag, leave, article or tag in ("article", "main")))
+        hidden.append(bool(HIDDEN.search(attributes)))
     if not (open_tags and open_tags[-1][1]):
         flush()
     return lines, inside
@@ -142,11 +165,7 @@ def main_text(page: str) -> str:
     alive = np.concatenate([[False], sums > 0, [False]])
     surges, dives = (np.flatnonzero(x) for x in (~alive[:-1] & alive[1:], alive[:-1] & ~alive[1:]))
     regions = list(zip(surges, dives, strict=True))
-    if any(inside):
-        kept = [r for r in regions if any(inside[r[0] : r[1]])]
-    else:
-        weights = [int(lengths[a:b].sum()) for a, b in regions]
-        kept = [r for r, w in zip(regions, weights, strict=True) if 5 * w >= max(weights)]
+    kept = [r for r in regions if any(inside[r[0] : r[1]])] if any(inside) else regions
     return "\n".join(x for a, b in kept for x in lines[a:b] if x)
 
 

@@ -18,6 +18,23 @@ def test_without_article_the_surge_is_kept():
     assert text.count("\n") == 5 and "Menu" not in text and "Imprint" not in text
 
 
+def test_short_regions_are_kept():
+    body = "".join(f"<p>Paragraph {i} of the text, long enough to count as one.</p>" for i in range(9))
+    page = f"<body><section>{body}</section><section><p>Short.</p></section><section>{body}<div class=ad>Buy</div><p>Last.</p></section></body>"
+    text = main_text(page)
+    assert "\nShort.\n" in text and text.endswith("\nLast.") and "Buy" not in text and text.count("\n") == 19
+
+
+def test_no_page_is_lost_whole():
+    assert main_text("<html><head><title>T</title><meta name=x><body><p>Text.</p></body></html>") == "Text."
+    assert main_text("<head><title>T</title><link rel=x><p>Text.<p>More.") == "Text.\nMore." and main_text("<head><title>T</title>Text") == "Text"
+    wrapped = "<body><div class='layout has-sidebar'><div class=sidebar>Side</div><{0}><p>Text.</p><div class=ad>Buy</div></{0}>after</div><p>Imprint</p></body>"
+    assert main_text(wrapped.format("article")) == main_text(wrapped.format("main")) == "Text."
+    assert main_text("<form><main><p>Text.</p></main></form>") == "Text."
+    assert main_text("<div class='layout has-sidebar'><nav>Menu</nav><p>Text.</p></div>") == "Text."
+    assert main_text("<div hidden><article>no</article></div><p>Text.</p>") == "Text."
+
+
 def test_odd_pages(spark):
     assert main_text("") == "" and main_text("just text") == "just text" and main_text("<p") == "<p"
     assert main_text("<article><p>a < b &lt; c<p>d") == "a < b < c\nd"
