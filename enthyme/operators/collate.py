@@ -1,7 +1,8 @@
 """Alignment of witnesses of one text, and a vote where they differ.
 
-Two token lists are anchored on n-grams that are unique in both; the longest rising chain of anchors is kept, and what lies between
-anchors is matched by sequence comparison. Pairs are independent rows, so witnesses of many texts go in one call.
+Two token lists are anchored on n-grams that are unique in both; the longest rising chain of anchors is kept, a second chain is sought
+in long stretches that it skipped (a block that one witness has elsewhere), and what lies between anchors is matched by sequence
+comparison, however long it is. Pairs are independent rows, so witnesses of many texts go in one call.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens in an anchor; gaps of up to this many tokens on either side are compared token by token.
-ANCHOR, GAP = 4, 400
+#: Tokens in an anchor; stretches without an anchor of at least so many tokens are searched for a second chain.
+ANCHOR, SKIPPED = 4, 12
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -37,32 +38,41 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def aligned(x: list[str], y: list[str], n: int = ANCHOR) -> list[tuple[int, int]]:
-    """Pairs of places with equal tokens, rising in both."""
+    """Pairs of places with equal tokens, by rising place in x. They rise in y too, but for blocks that stand elsewhere there."""
     grams = [{} for _ in range(2)]
     for own, tokens in zip(grams, (x, y), strict=True):
         seen = Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
         own.update({g: i for i in range(len(tokens) - n + 1) if seen[g := tuple(tokens[i : i + n])] == 1})
-    anchors = rising(sorted((i, grams[1][g]) for g, i in grams[0].items() if g in grams[1]))
-    out: list[tuple[int, int]] = []
+    anchors = sorted((i, grams[1][g]) for g, i in grams[0].items() if g in grams[1])
+    at: dict[int, int] = {}
+    used: set[int] = set()
+
+    def take(i: int, j: int, size: int) -> None:
+        for k in range(size):
+            if i + k not in at and j + k not in used:
+                at[i + k] = j + k
+                used.add(j + k)
+
+    for i, j in rising(anchors):
+        take(i, j, n)
+    places = [-1, *sorted(at), len(x)]
+    for i, k in zip(places, places[1:], strict=False):
+        if k - i - 1 >= SKIPPED:
+            second = rising([(a, b) for a, b in anchors[bisect_left(anchors, (i + 1, -1)) : bisect_left(anchors, (k - n + 1, -1))] if b not in used])
+            for a, b in second if len(second) > 1 else ():
+                take(a, b, n)
     i = j = 0
-    for a, b in [*anchors, (len(x), len(y))]:
-        if a < i or b < j:  # inside the anchor before
-            a, b = max(a, i), max(b, j)
-            if a >= len(x) or b >= len(y) or x[a] != y[b]:
-                continue
-        if i < a and j < b and a - i <= GAP and b - j <= GAP:
+    for a, b in [*sorted(at.items()), (len(x), len(y))]:
+        if i < a and j < b:
             for m in SequenceMatcher(None, x[i:a], y[j:b], autojunk=False).get_matching_blocks():
-                out += [(i + m.a + k, j + m.b + k) for k in range(m.size)]
-        while a < len(x) and b < len(y) and x[a] == y[b]:
-            out.append((a, b))
-            a, b = a + 1, b + 1
-        i, j = max(i, a), max(j, b)
-    return out
+                take(i + m.a, j + m.b, m.size)
+        i, j = a + 1, b + 1
+    return sorted(at.items())
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
     """(a, b, tokens_a, tokens_b, equal, rate) of pairs (a, b, text_a, text_b): rate is the share of the longer text's tokens that the other has
-    in the same order."""
+    in the same order, or in a block that was moved."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -17,6 +17,15 @@ def test_chain_and_alignment():
     assert len(got) >= len(x) - 9 and aligned([], y) == [] and aligned(x, x) == [(i, i) for i in range(len(x))]
 
 
+def test_long_gaps_and_moved_blocks():
+    words = [f"w{i}" for i in range(100)]
+    assert len(aligned(words, words[:50] + ["new"] * 900 + words[50:])) == 100
+    line = "the same line again and".split() * 120  # no anchor is unique
+    assert len(aligned(line, [*line, "end"])) == 600
+    assert len(aligned(line[:-1], ["start"] * 500 + line)) == 599
+    assert sorted(aligned(words, words[:40] + words[70:] + words[40:70])) == [(i, i if i < 40 else i - 30 if i >= 70 else i + 30) for i in range(100)]
+
+
 def test_rates_and_votes(spark):
     pairs = spark.createDataFrame([(1, 2, "a b c d e", "a b x d e"), (1, 3, None, "a")], "a long, b long, text_a string, text_b string")
     assert [(r.equal, r.rate) for r in agreement(pairs).orderBy("b").collect()] == [(4, 0.8), (0, 0.0)]
