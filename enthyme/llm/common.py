@@ -36,8 +36,8 @@ def scratch(spark: SparkSession) -> str:
 
 
 #: While an intermediate table is written, Spark deletes the shuffle files of that query when it has ended, and hands rows to
-#: Python in small batches: a batch's texts are in memory together, and a long one may be in every row of a join.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
+#: Python in batches bounded by bytes: the texts of a batch are in memory together, on either side.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +53,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more: whatever was made from them has been saved in its turn."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._saved_at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: A list of this many bigint keys (about 30 MB as a hashed relation) may be broadcast; longer ones are shuffled.

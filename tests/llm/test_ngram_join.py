@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from enthyme.llm import ngram_join
 from enthyme.llm.components import smallest_reachable
 from enthyme.llm.ngram_join import first_prefix, jaccard_components, one_of_each, second_prefix
 
@@ -87,6 +88,34 @@ def test_isolated_pairs_of_unlike_size(documents, k, p, q, n):
     assert {r.doc_id: r.component_id for r in jaccard_components(documents(rows), words=k, similarity=(p, q)).collect()} == want
 
 
+@pytest.mark.parametrize(("k", "p", "q"), [(3, 9, 10), (5, 4, 5)])
+def test_every_pair_of_sizes(documents, k, p, q):
+    """Sets of 1 to 120 shingles, each with the smallest part of it that is similar: every pair is linked, and one shingle less never is."""
+    rows, want = [], {}
+    for n in range(1, 121):
+        w = [f"s{n}x{j}" for j in range(n + k - 1)]
+        least = -(-p * n // q)
+        for i, m in enumerate((n, least, least - 1)):
+            if m:
+                rows.append((4 * n + i, " ".join(w[: m + k - 1])))
+                want[4 * n + i] = 4 * n
+    want |= {4 * n + 2: 4 * n + 2 for n in range(1, 121) if 4 * n + 2 in want and q * (-(-p * n // q) - 1) < p * -(-p * n // q)}
+    assert {r.doc_id: r.component_id for r in jaccard_components(documents(rows), words=k, similarity=(p, q)).collect()} == want
+
+
+def test_families_in_rounds_of_pivots(documents, monkeypatch):
+    """One text with many variants of one to six edits, and strangers that share half of it: lists get pivots until few pairs are left."""
+    monkeypatch.setattr(ngram_join, "FEW", 0)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(900)]
+    base = rng.choices(vocabulary, k=120)
+    other = base[:60] + rng.choices(vocabulary, k=60)
+    texts = family(rng, base, 120, 6, vocabulary) + family(rng, other, 60, 6, vocabulary)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in jaccard_components(documents(rows), words=5, similarity=(4, 5)).collect()}
+    assert got == brute(rows, 5, 4, 5)
+
+
 @pytest.mark.parametrize(("p", "q"), [(9, 10), (4, 5), (1, 2), (2, 3)])
 def test_prefixes_are_long_enough(p, q):
     """The worst two sets there are: as few shared tokens as similarity allows, all of them behind the others under both orders."""
