@@ -1,14 +1,13 @@
 """Alignment of witnesses of one text, and a vote where they differ.
 
-Two token lists are anchored on n-grams that are unique in both; the longest rising chain of anchors is kept, a second chain is sought
-in long stretches that it skipped (a block that one witness has elsewhere), and what lies between anchors is matched by sequence
-comparison, however long it is. Pairs are independent rows, so witnesses of many texts go in one call.
+Two token lists are aligned from coarse to fine: runs of sixteen tokens that each has once and only once fix a frame, the
+longest that rises in both; between its points runs of eight do so, then of four, of two, of one; what is left between two points
+is matched by sequence comparison, however long it is. Then blocks that one witness has elsewhere are matched by the same runs,
+without order, among the tokens that are still free. Pairs are independent rows, so witnesses of many texts go in one call.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -16,58 +15,90 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens in an anchor; stretches without an anchor of at least so many tokens are searched for a second chain.
-ANCHOR, SKIPPED = 4, 12
+#: Tokens in a run, from coarse to fine; a block that was moved has at least MOVED tokens.
+GRAINS, MOVED = (16, 8, 4, 2, 1), 12
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest chain of pairs that rises in both numbers; pairs come by rising first number."""
-    tails: list[int] = []
-    at: list[int] = []
-    before = [-1] * len(pairs)
+    """The longest chain of pairs that rises in both numbers; pairs come by rising first number. A Fenwick tree over the ranks of the
+    second numbers holds the longest chain that ends below each. Of equally long chains the one that ends lowest is taken."""
+    rank = {y: r for r, y in enumerate(sorted({y for _, y in pairs}), 1)}
+    tree: list[tuple[int, int]] = [(0, -1)] * (len(rank) + 1)  # length, last pair
+    length, before = [0] * len(pairs), [-1] * len(pairs)
+    top = (0, -1)
     for i, (_, y) in enumerate(pairs):
-        k = bisect_left(tails, y)
-        tails[k : k + 1] = [y]
-        at[k : k + 1] = [i]
-        before[i] = at[k - 1] if k else -1
-    chain, i = [], at[-1] if at else -1
+        best, r = (0, -1), rank[y] - 1
+        while r:
+            best = max(best, tree[r], key=lambda x: x[0])
+            r &= r - 1
+        length[i], before[i] = best[0] + 1, best[1]
+        r = rank[y]
+        while r < len(tree):
+            if tree[r][0] < length[i]:
+                tree[r] = (length[i], i)
+            r += r & -r
+        if top[1] < 0 or (length[i], -y) > (top[0], -pairs[top[1]][1]):
+            top = (length[i], i)
+    chain, i = [], top[1]
     while i >= 0:
         chain.append(pairs[i])
         i = before[i]
     return chain[::-1]
 
 
-def aligned(x: list[str], y: list[str], n: int = ANCHOR) -> list[tuple[int, int]]:
+def single(tokens: list[str], places: range | list[int], n: int) -> dict[tuple, int]:
+    """Runs of n tokens that stand at exactly one of the places."""
+    where: dict[tuple, int] = {}
+    for i in places:
+        run = tuple(tokens[i : i + n])
+        where[run] = -1 if run in where else i
+    return {run: i for run, i in where.items() if i >= 0}
+
+
+def aligned(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     """Pairs of places with equal tokens, by rising place in x. They rise in y too, but for blocks that stand elsewhere there."""
-    grams = [{} for _ in range(2)]
-    for own, tokens in zip(grams, (x, y), strict=True):
-        seen = Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
-        own.update({g: i for i in range(len(tokens) - n + 1) if seen[g := tuple(tokens[i : i + n])] == 1})
-    anchors = sorted((i, grams[1][g]) for g, i in grams[0].items() if g in grams[1])
     at: dict[int, int] = {}
-    used: set[int] = set()
-
-    def take(i: int, j: int, size: int) -> None:
-        for k in range(size):
-            if i + k not in at and j + k not in used:
-                at[i + k] = j + k
-                used.add(j + k)
-
-    for i, j in rising(anchors):
-        take(i, j, n)
-    places = [-1, *sorted(at), len(x)]
-    for i, k in zip(places, places[1:], strict=False):
-        if k - i - 1 >= SKIPPED:
-            second = rising([(a, b) for a, b in anchors[bisect_left(anchors, (i + 1, -1)) : bisect_left(anchors, (k - n + 1, -1))] if b not in used])
-            for a, b in second if len(second) > 1 else ():
-                take(a, b, n)
-    i = j = 0
-    for a, b in [*sorted(at.items()), (len(x), len(y))]:
-        if i < a and j < b:
-            for m in SequenceMatcher(None, x[i:a], y[j:b], autojunk=False).get_matching_blocks():
-                take(i + m.a, j + m.b, m.size)
-        i, j = a + 1, b + 1
-    return sorted(at.items())
+    stretches = [(0, len(x), 0, len(y))]
+    for n in GRAINS:
+        finer = []
+        for a, b, c, d in stretches:
+            here, there = single(x, range(a, b - n + 1), n), single(y, range(c, d - n + 1), n)
+            i, j = a, c
+            for s, t in rising(sorted((s, there[run]) for run, s in here.items() if run in there)):
+                for k in range(n):
+                    if s + k >= i and t + k >= j:
+                        finer.append((i, s + k, j, t + k))
+                        at[s + k] = t + k
+                        i, j = s + k + 1, t + k + 1
+            finer.append((i, b, j, d))
+        stretches = [z for z in finer if z[0] < z[1] and z[2] < z[3]]
+    for a, b, c, d in stretches:
+        for m in SequenceMatcher(None, x[a:b], y[c:d], autojunk=False).get_matching_blocks():
+            at.update((a + m.a + k, c + m.b + k) for k in range(m.size))
+    return sorted((at | moved(x, y, at)).items())
+
+
+def moved(x: list[str], y: list[str], at: dict[int, int]) -> dict[int, int]:
+    """Blocks of free tokens that stand elsewhere in the other witness."""
+    used = set(at.values())
+    free = lambda n, taken: [i for i, run in enumerate(lengths(n, taken)) if run >= MOVED]
+    here, there = single(x, free(len(x), at), MOVED), single(y, free(len(y), used), MOVED)
+    out: dict[int, int] = {}
+    for run, i in here.items():
+        if run in there:
+            for k in range(MOVED):
+                if i + k not in out and there[run] + k not in used:
+                    out[i + k] = there[run] + k
+                    used.add(there[run] + k)
+    return out
+
+
+def lengths(n: int, taken) -> list[int]:
+    """For each place, how many free places begin there."""
+    out = [0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        out[i] = 0 if i in taken else out[i + 1] + 1
+    return out[:n]
 
 
 def agreement(pairs: DataFrame) -> DataFrame:

@@ -265,14 +265,14 @@ def contribution(spark, d):
     return graph.contribution(_geography(spark, d))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT src, dst FROM edges WHERE src[1] IN ('n', 's')), p AS (SELECT dst AS top, src AS below FROM e UNION SELECT p.top, e.src FROM p JOIN e ON e.dst = p.below),
+@query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT src, dst FROM edges), p AS (SELECT dst AS top, src AS below FROM e UNION SELECT p.top, e.src FROM p JOIN e ON e.dst = p.below),
 nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 SELECT node, count(below) AS load FROM nodes LEFT JOIN p ON p.top = node GROUP BY 1""")
 def support_load(spark, d):
     return graph.closure_sizes(_geography(spark, d))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || (l_partkey % 50) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 97 = 0),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || (l_partkey % 50) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, b FROM r JOIN both_ways ON a = seen)
 SELECT node, min(seen) AS component FROM r GROUP BY 1""")
 def pieces(spark, d):
@@ -293,17 +293,17 @@ def _transitions(spark, d) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {TRANSITIONS}, r AS (SELECT 'signup' AS place, ['signup'] AS path, 0 AS minus, 0 AS n UNION ALL
- SELECT dst, list_append(path, dst), minus + (sign = '-')::INT, n + 1 FROM r JOIN steps ON src = place WHERE place <> 'purchase' AND NOT list_contains(path, dst) AND n < 4)
+ SELECT dst, list_append(path, dst), minus + (sign = '-')::INT, n + 1 FROM r JOIN steps ON src = place WHERE place <> 'purchase' AND NOT list_contains(path, dst))
 SELECT array_to_string(path, '>') AS route, CASE WHEN minus % 2 = 1 THEN '-' ELSE '+' END AS net FROM r WHERE place = 'purchase'""")
 def causal_routes(spark, d):
     node = lambda x: spark.range(1).select(F.lit(x).alias("node"))
-    found = graph.routes(_transitions(spark, d), node("signup"), node("purchase"), 4)
+    found = graph.routes(_transitions(spark, d), node("signup"), node("purchase"))
     return found.select(F.array_join("path", ">").alias("route"), graph.net_sign(F.col("signs")).alias("net"))
 
 
 @query(f"""WITH RECURSIVE {TRANSITIONS}, r AS (SELECT DISTINCT src AS start, src AS place, [src] AS path, 0 AS minus, false AS closed FROM steps UNION ALL
- SELECT start, dst, CASE WHEN dst = start THEN path ELSE list_append(path, dst) END, minus + (sign = '-')::INT, dst = start FROM r JOIN steps ON src = place WHERE NOT closed AND dst >= start AND (dst = start OR NOT list_contains(path, dst)) AND len(path) <= 4)
-SELECT array_to_string(path, '>') AS loop, CASE WHEN minus % 2 = 1 THEN 'balancing' ELSE 'reinforcing' END AS polarity FROM r WHERE closed AND len(path) <= 4""")
+ SELECT start, dst, CASE WHEN dst = start THEN path ELSE list_append(path, dst) END, minus + (sign = '-')::INT, dst = start FROM r JOIN steps ON src = place WHERE NOT closed AND dst >= start AND (dst = start OR NOT list_contains(path, dst)))
+SELECT array_to_string(path, '>') AS loop, CASE WHEN minus % 2 = 1 THEN 'balancing' ELSE 'reinforcing' END AS polarity FROM r WHERE closed""")
 def causal_loops(spark, d):
     found = graph.loops(_transitions(spark, d))
     return found.select(F.array_join("loop", ">").alias("loop"), F.when(graph.net_sign(F.col("signs")) == "-", "balancing").otherwise("reinforcing").alias("polarity"))
@@ -410,7 +410,7 @@ def minimal_conditions(spark, d):
     return frames.minimal_sufficient(_conditions(spark, d))
 
 
-BEARING = """e AS (SELECT 'o' || l_orderkey AS src, 'p' || (l_partkey % 20) AS dst, CASE WHEN l_returnflag = 'R' THEN 'attack' ELSE 'support' END AS kind FROM lineitem WHERE l_orderkey % 10 = 0),
+BEARING = """e AS (SELECT 'o' || l_orderkey AS src, 'p' || (l_partkey % 20) AS dst, CASE WHEN l_returnflag = 'R' THEN 'attack' ELSE 'support' END AS kind FROM lineitem),
 cells AS (SELECT src AS row_id, dst AS account, CASE WHEN count(DISTINCT kind) > 1 THEN 'both' WHEN min(kind) = 'support' THEN 'for' ELSE 'against' END AS cell FROM e GROUP BY 1, 2)"""
 
 
@@ -470,7 +470,9 @@ start AS (SELECT DISTINCT l.map_id, src AS node FROM links l WHERE EXISTS (SELEC
 r AS (SELECT map_id, node FROM start UNION SELECT r.map_id, dst FROM r JOIN links l ON l.map_id = r.map_id AND l.src = r.node)
 SELECT map_id, 'unlinked-intervention' AS kind, id AS state FROM states s WHERE role = 'intervention' AND NOT EXISTS (SELECT 1 FROM links l WHERE l.map_id = s.map_id AND l.src = s.id)
 UNION ALL SELECT map_id, 'unreached-outcome', id FROM states s WHERE role = 'outcome' AND NOT EXISTS (SELECT 1 FROM r WHERE r.map_id = s.map_id AND r.node = s.id)
-UNION ALL SELECT map_id, 'dead-end', id FROM states s WHERE coalesce(role, '') <> 'outcome' AND EXISTS (SELECT 1 FROM links l WHERE l.map_id = s.map_id AND l.dst = s.id) AND NOT EXISTS (SELECT 1 FROM links l WHERE l.map_id = s.map_id AND l.src = s.id)""")
+UNION ALL SELECT map_id, 'dead-end', id FROM states s WHERE coalesce(role, '') <> 'outcome' AND EXISTS (SELECT 1 FROM links l WHERE l.map_id = s.map_id AND l.dst = s.id) AND NOT EXISTS (SELECT 1 FROM links l WHERE l.map_id = s.map_id AND l.src = s.id)
+UNION ALL SELECT DISTINCT map_id, 'no-intervention', NULL FROM states s WHERE NOT EXISTS (SELECT 1 FROM states o WHERE o.map_id = s.map_id AND o.role IN ('intervention', 'condition'))
+UNION ALL SELECT DISTINCT map_id, 'no-outcome', NULL FROM states s WHERE NOT EXISTS (SELECT 1 FROM states o WHERE o.map_id = s.map_id AND o.role = 'outcome')""")
 def chain_gaps(spark, d):
     return mechanism.gaps(*_chains(spark, d))
 
@@ -495,7 +497,7 @@ def step_validity(spark, d):
 
 # ---------------------------------------------------------------- cleaning
 @query(f"""WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM documents)
-SELECT doc_id, (CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END - 60 * len(regexp_extract_all(t, '{cleaning.LETTER_SOUP}')))::INT AS quality FROM f""")
+SELECT doc_id, (CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END - 60 * len(regexp_extract_all(t, '{cleaning.SOUP}')))::INT AS quality FROM f""")
 def conversion_quality(spark, d):
     return table(spark, d, "documents").select("doc_id", cleaning.quality(F.col("text")).alias("quality"))
 
@@ -505,7 +507,12 @@ def slugs(spark, d):
     return table(spark, d, "part").select("p_partkey", cleaning.slug(F.col("p_name")).alias("slug"))
 
 
-@query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{cleaning.ASSET}', '{cleaning.STUB}', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '(?im){cleaning.STAMP[5:]}', '', 'g')) AS text_md5 FROM documents""")
+SQL_CLEAN = f"regexp_replace(regexp_replace(coalesce(text, ''), '{cleaning.ASSET}', '{cleaning.STUB}', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')"
+for _stamp in cleaning.ACCESS_STAMPS:
+    SQL_CLEAN = f"regexp_replace({SQL_CLEAN}, '{_stamp}', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5({SQL_CLEAN}) AS text_md5 FROM documents")
 def cleaned_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(cleaning.cleaned(F.col("text"))).alias("text_md5"))
 
