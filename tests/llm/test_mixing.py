@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from enthyme.llm.mixing import mixed_rows, period, phases, shares
+from enthyme.llm.mixing import MOST_SOURCES, exact, mixed_rows, period, phases, shares
 
 
 @settings(max_examples=80, deadline=None)
@@ -22,7 +22,7 @@ def test_a_period_never_strays_by_a_block(weights):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.text("abc", min_size=1, max_size=3), st.tuples(st.integers(0, 700), st.floats(0, 9)), min_size=1, max_size=9))
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=3), st.tuples(st.integers(0, 700), st.integers(0, 90).map(lambda x: x / 10)), min_size=1, max_size=9))
 def test_phases_place_every_block_once(sources):
     blocks = {k: n for k, (n, _) in sources.items()}
     plan = phases(blocks, {k: w for k, (_, w) in sources.items()})
@@ -62,8 +62,27 @@ def test_rows_are_all_there_and_on_target(documents):
 def test_odd_tables(documents):
     assert mixed_rows(documents([])).collect() == []
     assert mixed_rows(documents([(1, None, None, None)])).first().mix_slot == 0
-    many = documents([(i, "t", "en", f"s{i}") for i in range(201)])
-    with pytest.raises(ValueError, match="group them"):
-        mixed_rows(many)
+    many = documents([(i, "t", "en", f"s{i}") for i in range(300)])
+    assert sorted(r.mix_slot for r in mixed_rows(many).collect()) == list(range(300)) and MOST_SOURCES >= 300
+    nulls = mixed_rows(documents([(None, f"t{i}", "en", "a") for i in range(400)]), block_rows=10, bucket_rows=50)
+    assert sorted(10 * r.mix_slot + r.mix_seat for r in nulls.collect()) == list(range(400))
     left = mixed_rows(documents([(i, "t", "en", "ab"[i % 2]) for i in range(200)]), {"a": 1.0}, block_rows=10).collect()
     assert len(left) == 200 and max(r.mix_slot for r in left if r.source == "a") < min(r.mix_slot for r in left if r.source == "b")
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": Fraction(1, 3), "b": Fraction(1, 7), "c": Fraction(11, 21)}, {"a": 0.0001, "b": 0.9999}, {"a": 0.5, "b": 0.4997, "c": 0.0003}])
+def test_exact_weights_over_many_slots(weights):
+    """After any of 200 000 slots each source is less than one block from its exact share."""
+    total = sum(Fraction(str(w)) for w in weights.values())
+    plan = {p["source"]: p for p in reversed(phases(dict.fromkeys(weights, 10**9), weights))}  # the first phase of each
+    for k, w in weights.items():
+        p, share = plan[k], Fraction(str(w)) / total
+        for had in range(int(share * 200_000)):
+            slot = p["begin"] + had // len(p["slots"]) * p["q"] + p["slots"][had % len(p["slots"])]
+            # `had` blocks before this slot, one more after it
+            assert abs(had - share * slot) < 1 and abs(had + 1 - share * (slot + 1)) < 1
+
+
+def test_weights_without_a_period_raise():
+    with pytest.raises(ValueError, match="common denominator"):
+        exact({"a": 0.1234567, "b": 0.3333333})
