@@ -1,22 +1,30 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one per block of text. Parts that are not the article (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts, styles) become empty lines, and the borders of a page's sections become runs of
-empty lines. Text lengths are summed over sliding windows of lines; where a sum rises from zero a region begins (surge),
-where it falls to zero the region ends (dive). Regions inside <article> or <main> are kept; without those, all regions are.
-An <article> or <main> that stands in a part with such a name is read where no other is found, and the names of classes and
-ids are not heeded where nothing else is left of a page.
+Markup is stripped into lines, one per block of text, by one forward pass. Menus, headers, footers, sidebars, notices, adverts, forms,
+comments, scripts and styles that a page marks as such (by element, or by a whole name in class, id or role) become empty
+lines, and the borders of sections runs of empty lines. A line weighs as many characters as it has, with links in it the letters and digits outside them; lines
+of a few copyright phrases weigh nothing. Weights are summed over sliding windows of WINDOW lines. Where a sum rises from zero a region
+begins, where it falls to zero the region dives; a region surges if a sum reaches SURGE. The text is what stands between the
+first surge and the last dive. Lighter regions before or after it are kept only if they hold a heading or a whole sentence, and
+weightless lines at the ends of a region go: menus without a mark are links, imprints are neither.
+
+Where a page marks its article (<article>, <main>), the borders are given: all its lines are kept. An <article> or <main>
+that stands in a part with such a name is read where no other is found, and the names of classes and ids are not heeded where
+nothing else is left of a page.
 
 Defined results: null or empty html gives an empty text; unclosed tags end with their parent, and <head> with the
-first element or text of a body; a page whose text is all in one short line gives that line. Repeated rows give repeated
-results; an empty table an empty one; other columns are not read.
+first element or text of a body; a quotation mark that is not closed before an end tag does not begin a value; a page without a surge
+gives all that has weight, and one without weight all its lines. Repeated rows give repeated results; an empty table an empty one; other
+columns are not read. The pass is linear in the length of a page, whatever the page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +33,100 @@ from pyspark.sql import functions as F
 
 from .common import sliced
 
-#: Lines in a sliding window; also the empty lines that part two sections.
-WINDOW = 3
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\s(?:hidden(?:[\s=>]|\Z)|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "textarea", "title", "head", "object", "canvas"}
-APART = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "label", "input", "fieldset"} | RAW
+#: Lines in a sliding window, also the empty lines that part two sections; the sum at which a region surges.
+WINDOW, SURGE = 3, 80
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+EMPTY_TAG = re.compile(r"""(?:^|[\s"'])/\Z""")
+HIDDEN = re.compile(r"""(?<![\w-])(?:hidden(?:[\s=>]|\Z)|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "textarea", "title", "object", "canvas"}
+APART = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "label", "input", "fieldset", "head"} | RAW
 SECTION = {"article", "main", "section", "header", "body", "html"}
-BLOCK = {"p", "div", "li", "ul", "ol", "dl", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "hr", "tbody", "thead", "tfoot", "details", "summary", "center"} | SECTION | APART
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+BLOCK = {"p", "div", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "hr", "tbody", "thead", "tfoot", "details", "summary", "center"} | HEADING | SECTION | APART
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
-#: Words of class, id or role names that mark a part which is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|footer|comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|skip|complementary|contentinfo|search|alert)(?:$|[\s_-])",
-    re.I,
-)
 IN_HEAD = {"title", "meta", "link", "style", "script", "base", "noscript", "template"}
-#: How lines_of treats names of classes, ids and roles: they leave parts out, save articles in them, or leave nothing out.
+#: Names of a class, id or role that mark a part which is not the article: anywhere, and outside an article only.
+ANYWHERE = frozenset(
+    "ad ads advert adverts advertisement adsbygoogle ad-slot sponsor sponsored promo cookie cookies cookie-notice cookie-banner consent gdpr notice "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs comments comment-list comments-area reader-comments disqus_thread respond share share-buttons social social-share "
+    "related related-posts newsletter subscribe signup login popup modal overlay pagination pager toolbar skip-link complementary contentinfo footer site-footer".split()
+)
+OUTSIDE = ANYWHERE | frozenset("header site-header page-header masthead banner search search-form widget alert dialog page-footer".split())
+IMPRINT = re.compile(r"\W*(?:©|\(c\)|copyright\b|all rights reserved)", re.I)
+SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*\Z")
+#: How `read` treats names of classes, ids and roles: they leave parts out, save articles in them, or leave nothing out.
 HEED, SPARE, IGNORE = range(3)
-#: A start tag of the key ends an open element of the value at the top of the open ones.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: A start tag of the key ends open elements of the value at the top of the open blocks; any block ends a <p>.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+
+
+class Line(NamedTuple):
+    text: str
+    weight: int
+    heading: bool
+    inside: bool  # <article> or <main>
+
+
+EMPTY = Line("", 0, False, False)
+
+
+def pieces(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text, is an end tag, tag, attributes) in page order: text has no tag, a tag has no text. Comments and the contents of RAW are left out."""
+    at = 0
+    loose = False  # whether a search for the end of a tag has met the end of the page
+    unclosed: set[str] = set()  # quotation marks and raw elements without a further end
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            yield page[at:lt], False, "", ""
+            end = page.find("-->", lt + 2)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        declaration = page[lt + 1 : lt + 2] in ("!", "?")
+        m = NAME.match(page, lt)
+        if not m and not declaration:
+            yield page[at : lt + 1], False, "", ""
+            at = lt + 1
+            continue
+        begin = m.end() if m else lt
+        first = page.find(">", begin)
+        if first < 0:
+            break
+        yield page[at:lt], False, "", ""
+        if not m:
+            at = first + 1
+            continue
+        end = -1 if loose else begin
+        while not loose and (stop := STOP.search(page, end)):
+            end = stop.start()
+            if stop[0] == ">":
+                break
+            close = -1
+            if stop[0] not in unclosed and page[begin:end].rstrip().endswith("="):
+                close = page.find(stop[0], end + 1)
+                if close < 0:
+                    unclosed.add(stop[0])
+                elif page.find("</", end, close) >= 0:
+                    close = -1
+            end = max(close, end) + 1
+            begin = end
+        else:
+            loose, end = True, first
+        closing, tag, attributes = bool(m[1]), m[2].lower(), page[m.end() : end]
+        at = end + 1
+        if not closing and tag in RAW and tag not in unclosed:
+            if stop := re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at):
+                at = stop.end()
+            else:
+                unclosed.add(tag)
+                if tag in ("script", "style"):
+                    return
+        if tag not in RAW:
+            yield "", closing, tag, attributes
+    yield page[at:], False, "", ""
 
 
 def marked(tag: str, attributes: str, in_article: bool, names: int = HEED) -> bool:
@@ -52,121 +134,145 @@ def marked(tag: str, attributes: str, in_article: bool, names: int = HEED) -> bo
         return True
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
-    return bool(HIDDEN.search(attributes)) or names != IGNORE and any(MARKS.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
+    if HIDDEN.search(attributes):
+        return True
+    known = ANYWHERE if in_article else OUTSIDE
+    return names != IGNORE and any(x in known for _, a, b, c in ATTRIBUTE.findall(attributes) for x in (a or b or c).lower().split())
 
 
-def lines_of(page: str) -> tuple[list[str], list[bool]]:
-    """The lines of a page, and whether each is inside <article> or <main>. Parts that are not the article are left out."""
-    lines, inside = read(page, HEED)
-    if not any(inside) and re.search(r"<(?:article|main)\b", page, re.I):
+def bare(text: str) -> int:
+    """How many letters and digits."""
+    return len(re.sub(r"[\W_]+", "", text))
+
+
+def lines_of(page: str) -> list[Line]:
+    lines = read(page, HEED)
+    if not any(x.inside for x in lines) and re.search(r"<(?:article|main)\b", page, re.I):
         spared = read(page, SPARE)
-        if any(spared[1]):
+        if any(x.inside for x in spared):
             return spared
-    return (lines, inside) if any(lines) else read(page, IGNORE)
+    return lines if any(x.text for x in lines) else read(page, IGNORE)
+
 
+class Open(NamedTuple):
+    tag: str
+    out: bool  # left out
+    inside: bool
+    hidden: bool
 
-def read(page: str, names: int) -> tuple[list[str], list[bool]]:
-    """The lines of a page, and whether each is inside <article> or <main>. Parts that are not the article are left out."""
-    lines: list[str] = []
-    inside: list[bool] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, left out, in article
-    hidden: list[bool] = []  # of the open tags
+
+def read(page: str, names: int) -> list[Line]:
+    """The lines of a page. Parts that are not the article are left out."""
+    lines: list[Line] = []
+    stack: list[Open] = []
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag
+    blocks: list[int] = []  # places of blocks
+    hidden = 0
     buffer: list[str] = []
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(entities.unescape("".join(buffer)).split())
-        buffer.clear()
         if text:
-            lines.append(text)
-            inside.append(bool(open_tags) and open_tags[-1][2])
+            weight = 0 if len(text) <= 120 and IMPRINT.match(text) else max(0, bare(text) - linked) if linked else len(text)
+            lines.append(Line(text, weight, any(where[h] for h in HEADING), bool(stack) and stack[-1].inside))
+        buffer.clear()
+        linked = 0
 
     def part() -> None:
         flush()
-        lines.extend([""] * WINDOW)
-        inside.extend([False] * WINDOW)
-
-    def shut(count: int) -> None:
-        for _ in range(count):
-            tag, out, _ = open_tags[-1]
-            if tag in SECTION or out and not (len(open_tags) > 1 and open_tags[-2][1]):
-                if out:
+        lines.extend([EMPTY] * WINDOW)
+
+    def shut(size: int) -> None:
+        """Ends open elements until so many are left."""
+        nonlocal hidden
+        while len(stack) > size:
+            top = stack[-1]
+            if top.tag in SECTION or top.out and not (len(stack) > 1 and stack[-2].out):
+                if top.out:
                     buffer.clear()
                 part()
-            elif tag in BLOCK and not out:
+            elif top.tag in BLOCK and not top.out:
                 flush()
-            open_tags.pop()
-            hidden.pop()
+            stack.pop()
+            where[top.tag].pop()
+            hidden -= top.hidden
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
 
-    at = 0
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if open_tags and open_tags[-1][0] == "head" and text.strip():
-            shut(1)
-        if not (open_tags and open_tags[-1][1]):
-            buffer.append(text)
-        if not m:
-            break
-        at = m.end()
-        end, tag, attributes = m[1], (m[2] or "").lower(), m[3]
+    for text, closing, tag, attributes in pieces(page):
+        top = stack[-1] if stack else Open("", False, False, False)
         if not tag:
+            if top.tag == "head" and text.strip():
+                shut(len(stack) - 1)
+                top = stack[-1] if stack else Open("", False, False, False)
+            if not top.out and text:
+                buffer.append(text)
+                if where["a"]:
+                    linked += bare(entities.unescape(text))
             continue
-        if end:
-            for back in range(len(open_tags) - 1, -1, -1):
-                if open_tags[back][0] == tag:
-                    # an end tag of inline markup does not end blocks around it
-                    if tag in BLOCK or not any(t in BLOCK for t, _, _ in open_tags[back + 1 :]):
-                        shut(len(open_tags) - back)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+        if closing:
+            if where[tag]:
+                # an end tag of inline markup does not end blocks around it
+                if tag in BLOCK or not blocks or where[tag][-1] > blocks[-1]:
+                    shut(where[tag][-1])
+            elif tag in BLOCK:
+                flush()
             continue
-        if open_tags and open_tags[-1][0] == "head" and tag not in IN_HEAD:
-            shut(1)
-        out, article = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
-            if not out:
+        if top.tag == "head" and tag not in IN_HEAD:
+            shut(len(stack) - 1)
+            top = stack[-1] if stack else Open("", False, False, False)
+        if tag in VOID or tag not in BLOCK and EMPTY_TAG.search(attributes):
+            if not top.out:
                 (flush() if tag == "hr" else buffer.append(" " if tag == "br" else ""))
             continue
         if tag in BLOCK:
-            for back in range(len(open_tags) - 1, -1, -1):
-                if open_tags[back][0] in CLOSES.get(tag, ()) or tag in BLOCK and open_tags[back][0] == "p":
-                    shut(len(open_tags) - back)
-                    out, article = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
-                    break
-                if open_tags[back][0] in BLOCK:
-                    break
-        if tag in RAW and tag != "head":
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page) if tag in ("script", "style") else at
-            continue
-        if names == SPARE and out and not article and tag in ("article", "main") and not any(hidden):
-            out = False
-        leave = out or marked(tag, attributes, article, names)
+            while blocks and (stack[blocks[-1]].tag == "p" or stack[blocks[-1]].tag in CLOSES.get(tag, ())):
+                shut(blocks[-1])
+            top = stack[-1] if stack else Open("", False, False, False)
+        out = top.out and not (names == SPARE and not top.inside and tag in ("article", "main") and not hidden)
+        leave = out or marked(tag, attributes, top.inside, names)
         if not out:
             if tag in SECTION or leave:
                 part()
             elif tag in BLOCK:
                 flush()
-        open_tags.append((tag, leave, article or tag in ("article", "main")))
-        hidden.append(bool(HIDDEN.search(attributes)))
-    if not (open_tags and open_tags[-1][1]):
+        where[tag].append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        stack.append(Open(tag, leave, top.inside or tag in ("article", "main"), bool(HIDDEN.search(attributes))))
+        hidden += stack[-1].hidden
+    if not (stack and stack[-1].out):
         flush()
-    return lines, inside
+    return lines
 
 
 def main_text(page: str) -> str:
-    lines, inside = lines_of(page)
-    if not any(lines):
-        return ""
-    lengths = np.array([len(x) for x in lines], dtype=np.int64)
-    sums = np.convolve(lengths, np.ones(WINDOW, dtype=np.int64))[: len(lines)]  # of a line and those before it
+    lines = lines_of(page)
+    if any(x.inside for x in lines):
+        return "\n".join(x.text for x in lines if x.inside)
+    return "\n".join(x.text for x in between(lines) if x.text)
+
+
+def between(lines: list[Line]) -> list[Line]:
+    """What stands between the first surge and the last dive, and the regions beside it that hold a heading or a sentence."""
+    weights = np.array([x.weight for x in lines], dtype=np.int64)
+    if not weights.any():
+        return lines
+    sums = np.convolve(weights, np.ones(WINDOW, dtype=np.int64))[: len(lines)]  # of a line and those before it
     alive = np.concatenate([[False], sums > 0, [False]])
-    surges, dives = (np.flatnonzero(x) for x in (~alive[:-1] & alive[1:], alive[:-1] & ~alive[1:]))
-    regions = list(zip(surges, dives, strict=True))
-    kept = [r for r in regions if any(inside[r[0] : r[1]])] if any(inside) else regions
-    return "\n".join(x for a, b in kept for x in lines[a:b] if x)
+    begins, dives = (np.flatnonzero(x) for x in (~alive[:-1] & alive[1:], alive[:-1] & ~alive[1:]))
+    heavy = np.maximum.reduceat(sums, begins) >= SURGE
+    surging = np.flatnonzero(heavy)
+    first, last = (surging[0], surging[-1]) if len(surging) else (0, len(begins) - 1)
+    kept: list[Line] = []
+    for k, (a, b) in enumerate(zip(begins, dives, strict=True)):
+        heavy_lines = a + np.flatnonzero(weights[a:b])
+        region = lines[heavy_lines[0] : heavy_lines[-1] + 1]
+        if first <= k <= last or any(x.heading or SENTENCE.search(x.text) for x in region):
+            kept += region
+    return kept
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 from enthyme.llm.html_text import extracted, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style></head><body>
@@ -47,3 +49,24 @@ def test_odd_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got)
     assert next(r.text for r in got if r.page_id is None).count("\n") == 19_999
     assert extracted(df.limit(0)).collect() == []
+
+
+def test_pages_without_marks():
+    """Menus are links, imprints are short; neither is marked by a name."""
+    body = "".join(f"<p>Paragraph {i} of the text, long enough to count as one.</p>" for i in range(4))
+    page = f"<div><a href=/>Home</a> <a href=/b>About</a></div><div><h2>Title</h2>{body}<p>See <a href=/c>this page</a> too.</p></div><div>Copyright 2020</div>"
+    assert main_text(page).split("\n") == ["Title", *(f"Paragraph {i} of the text, long enough to count as one." for i in range(4)), "See this page too."]
+    assert main_text("<div><a>Home</a> <a>About</a></div><div><p>Main text...</p></div><div>Copyright 2020</div>") == "Main text..."
+    assert main_text(f"<section>My site</section><section>{body}</section><section>About us</section>").count("\n") == 3
+
+
+def test_names_inside_an_article_are_whole_names():
+    page = '<article><header class="entry-header"><h1>Title</h1></header><p title="unclosed>Text.</p><div class="notice-board">Body text</div><div class="notice">Notice</div></article>'
+    assert main_text(page) == "Title\nText.\nBody text"
+
+
+def test_time_is_linear():
+    for page in ("<a '" * 200_000, "<b></i>" * 150_000, "<svg>" * 200_000, "<a =\">\" " * 100_000, "<div>" * 150_000 + "</b>" * 150_000, "<b><div></b>" * 80_000, "<!" * 200_000, "<p" * 200_000 + ">", "<p x='" * 100_001 + ">", "<h1>" * 150_000):
+        begin = time.time()
+        main_text(page)
+        assert time.time() - begin < 15
