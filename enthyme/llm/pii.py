@@ -1,14 +1,19 @@
 """Personal data by patterns, and terms that reveal it by information theory.
 
-Patterns find the protected entities: e-mail addresses, IP addresses, card numbers that pass Luhn, telephone numbers. The
-words around each mention are its context. Over the distinct contexts of the whole corpus (copies of a text are no new
-evidence) co-occurrence gives each term t and entity e a pointwise mutual information; divided by the information content
-of e it says what share of e's information t discloses. A term is a span of kind `term` in the contexts of e if it stands in at
-least SUPPORT distinct contexts of e and its share is DISCLOSURE or more. `sanitised` generalises entities to their kind and
+Patterns find the protected entities: e-mail addresses, IP addresses, card numbers that pass Luhn, telephone numbers. The terms
+nearest to a mention on either side are its context. Over the distinct contexts of the whole corpus (copies of a text are no new
+evidence) and over all windows of as many terms in all texts, co-occurrence gives each term t and entity e a pointwise mutual
+information; divided by the information content of e it says what share of e's information t discloses. A term that stands in
+at least SUPPORT distinct contexts of an entity, with a share of DISCLOSURE or more, discloses it; it is a span of kind `term`
+at every place of every text, whether the entity is named there or not. `sanitised` generalises entities to their kind and
 removes the terms.
 
-Defined results: a null text is empty and has no spans; matches that fail their test are dropped without another try; equal
-spans of several entities are one; repeated rows give repeated results; an empty table gives an empty one; other columns
+Three passes: contexts of mentions; how many windows hold each candidate term; spans. Terms are 64-bit hashes. The lists of
+terms that go to the executors hold at most MOST_TERMS; with more candidates all terms are counted, with more disclosing
+terms the last pass is made once for each part of the list.
+
+Defined results: a null text is empty and has no spans; matches that fail their test are dropped without another try; terms
+that overlap an entity are none; repeated rows give repeated results; an empty table gives an empty one; other columns
 are not read.
 """
 
@@ -16,18 +21,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sliced
+from .common import ceil_div, saved, sliced
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a mention, distinct contexts that a term needs, share of the entity's information.
+#: Terms on each side of a mention, distinct contexts that a term needs, share of the entity's information.
 AROUND, SUPPORT, DISCLOSURE = 10, 3, 0.8
+#: Hashes in a list that is sent to executors (16 MB), and counts that a task gathers before it hands them on.
+MOST_TERMS, GATHERED = 2_000_000, 200_000
 
 # The patterns of the contract, written so that no text makes them backtrack: runs are possessive, and a run of digits is
 # entered at its first digit only, where a match would begin anyway.
@@ -80,88 +90,187 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return [(s, e, KINDS[k], v) for s, e, k, v in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def context(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """The terms beside a mention, nearest AROUND on either side."""
-    lo, hi = max(0, start - 40 * AROUND), min(len(text), end + 40 * AROUND)
-    left = [m for m in TERM.finditer(text, lo, start) if m.start() > lo or lo == 0][-AROUND:]
-    right = [m for m in TERM.finditer(text, end, hi) if m.end() < hi or hi == len(text)][:AROUND]
-    return [(m[0].lower(), m.start(), m.end()) for m in left + right if not any(a < m.end() and m.start() < b for a, b in taken)]
+def terms_of(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all terms that overlap no span."""
+    ends: list[int] = []  # the furthest end of the spans so far
+    for _, e, _, _ in spans:
+        ends.append(max(e, ends[-1] if ends else 0))
+    starts = [s for s, _, _, _ in spans]
+    out = []
+    for m in TERM.finditer(text):
+        k = bisect_left(starts, m.end())  # the spans that begin before the term ends
+        if not k or ends[k - 1] <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
+    return out
 
 
-MENTION = "struct<entity: long, context: long, terms: array<struct<term: string, first: int, last: int>>>"
-SCANNED = f"row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<string>, mentions array<{MENTION}>"
+def signed(value: str) -> int:
+    h = xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass"))
+    return h - 2**64 if h >= 2**63 else h
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    term = pa.struct([("term", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
-    mention = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(term))])
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.string()), pa.list_(mention)]
+def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, context, terms) of every mention."""
     for batch in sliced(batches, "text"):
         out = []
-        for text in batch.column(2).to_pylist():
+        for text in batch.column(0).to_pylist():
             spans = base_spans(text or "")
-            labels = [f"{kind}:{s}:{e}" for s, e, kind, _ in spans]
-            taken = [(s, e) for s, e, _, _ in spans]
-            mentions = []
+            if not spans:
+                continue
+            terms = terms_of(text, spans)
+            starts = [s for _, s, _ in terms]
             for s, e, kind, value in spans:
-                if terms := context(text, s, e, taken):
-                    key = " ".join(t for t, _, _ in terms)
-                    mentions.append({"entity": signed(f"{kind}:{value}"), "context": signed(key), "terms": [{"term": t, "first": a, "last": b} for t, a, b in terms]})
-            counts = [sum(kind == k for _, _, kind, _ in spans) for k in KINDS]
-            out.append((*counts, hashlib.sha256(",".join(labels).encode()).hexdigest(), labels, mentions))
-        yield pa.RecordBatch.from_arrays([*(c.cast(pa.int64()) for c in batch.columns[:2]), *(pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions"])
+                near = [t for t, _, _ in terms[max(0, bisect_left(starts, s) - AROUND) : bisect_left(starts, s)] + terms[bisect_left(starts, e) :][:AROUND]]
+                if near:
+                    out.append((signed(f"{kind}:{value}"), signed(" ".join(near)), sorted({signed(t) for t in near})))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["entity", "context", "terms"])
 
 
-def signed(value: str) -> int:
-    h = xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass"))
-    return h - 2**64 if h >= 2**63 else h
+def windows_with(wanted: np.ndarray | None):
+    """(term, n): in how many windows of 2 * AROUND + 1 terms each wanted term stands (None: each term), as partial counts; under the term 0
+    the number of windows."""
+    known = None if wanted is None else set(wanted.tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[str, int] = {}
+        counts: Counter[int] = Counter()
+
+        def hand_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+            counts.clear()
+            return out
+
+        for batch in sliced(batches, "text"):
+            for text in batch.column(0).to_pylist():
+                words = TERM.findall((text or "").lower())
+                for i in range(0, len(words), 2 * AROUND + 1):
+                    counts[0] += 1
+                    for w in set(words[i : i + 2 * AROUND + 1]):
+                        h = hashes.get(w)
+                        if h is None:
+                            if len(hashes) >= GATHERED:
+                                hashes.clear()
+                            h = signed(w)
+                            hashes[w] = h = h if known is None or h in known else 0
+                        if h:
+                            counts[h] += 1
+                if len(counts) >= GATHERED:
+                    yield hand_on()
+        if counts:
+            yield hand_on()
+
+    return run
+
 
+def disclosing(texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(term), saved: the terms that disclose at least that share of some entity's information. texts has one column, text."""
+    found = texts.mapInArrow(mentions, "entity long, context long, terms array<long>")
+    contexts = saved(found.groupBy("entity", "context").agg(F.first("terms").alias("terms")), "contexts")
+    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
+    pairs = contexts.join(entities, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"))
+    pairs = saved(pairs.filter(F.col("n_te") >= support), "pairs")
+    candidates = saved(pairs.select("term").distinct(), "candidates")
+    if candidates.isEmpty():
+        return candidates
+    wanted = candidates.toArrow().column("term").to_numpy() if candidates.count() <= MOST_TERMS else None
+    counts = saved(texts.mapInArrow(windows_with(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t")), "counts")
+    total = float(counts.filter("term = 0").first().n_t)
+    # a context is a window too; a term that only overlapping ones hold has as many windows as contexts at least
+    seen = F.greatest("n_t", "n_te")
+    pmi = F.log(F.col("n_te") * F.lit(total) / (seen * F.col("n_e")))
+    information = F.log(F.lit(total) / F.col("n_e"))
+    known = pairs.join(counts, "term").filter((information > 0) & (pmi >= disclosure * information))
+    return saved(known.select("term").distinct(), "disclosing")
 
-def disclosing(scanned: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) pairs in which the term discloses at least that share of the entity's information."""
-    mentions = scanned.select(F.explode("mentions").alias("m")).select("m.entity", "m.context", F.array_distinct("m.terms.term").alias("terms"))
-    contexts = saved(mentions.groupBy("entity", "context").agg(F.first("terms").alias("terms")), "contexts")
-    total = contexts.count()
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    terms = contexts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    known = pairs.join(entities, "entity").join(terms, "term")
-    pmi = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    information = F.log(F.lit(float(total)) / F.col("n_e"))
-    return known.filter((information > 0) & (pmi >= disclosure * information)).select("entity", "term")
+
+def parts_of(terms: DataFrame) -> list[np.ndarray]:
+    """The terms as sorted lists of at most about MOST_TERMS."""
+    n = ceil_div(terms.count(), MOST_TERMS) or 1
+    return [np.sort(terms.filter(F.pmod("term", F.lit(n)) == i).toArrow().column("term").to_numpy()) for i in range(n)]
+
+
+def term_spans(text: str, spans: list[tuple[int, int, str, str]], wanted: set[int], hashes: dict[str, int]) -> list[tuple[int, int, str, str]]:
+    out = []
+    if wanted:
+        for t, s, e in terms_of(text, spans):
+            h = hashes.get(t)
+            if h is None:
+                if len(hashes) >= GATHERED:
+                    hashes.clear()
+                h = hashes[t] = signed(t)
+            if h in wanted:
+                out.append((s, e, "term", t))
+    return out
+
+
+def in_order(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    return sorted(spans, key=lambda x: (x[0], (*KINDS, "term").index(x[2]), x[1]))
+
+
+def marked(rows: DataFrame, parts: list[np.ndarray]) -> DataFrame:
+    """Rows (..., text) with the column `terms`: start and end of each place of a disclosing term."""
+    rows = rows.withColumn("terms", F.array().cast("array<int>"))
+    schema = rows.schema
+
+    def mark(part: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, hashes = set(part.tolist()), {}
+            for batch in sliced(batches, "__text"):
+                out = []
+                for text, before in zip(batch.column("__text").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                    found = term_spans(text or "", base_spans(text or ""), wanted, hashes)
+                    out.append((before or []) + [x for s, e, _, _ in found for x in (s, e)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int32()))], schema.names)
+
+        return run
+
+    for part in parts:
+        if len(part):
+            rows = rows.mapInArrow(mark(part), schema)
+            rows = saved(rows, "marked") if len(parts) > 1 else rows
+    return rows
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = saved(rows.mapInArrow(_scan, SCANNED), "pii")
-    near = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.entity", F.explode("m.terms").alias("t")).select("row", "entity", "t.*")
-    found = near.join(disclosing(scanned, support, disclosure), ["entity", "term"]).groupBy("row").agg(F.collect_set(F.concat_ws(":", F.lit("term"), "first", "last")).alias("own"))
-    every = F.array_union("base", F.coalesce("own", F.array().cast("array<string>")))
-    parts = F.transform(every, lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("s"), F.array_position(F.array(*map(F.lit, (*KINDS, "term"))), F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), x.alias("x")))
-    spans = F.array_join(F.transform(F.array_sort(parts), lambda p: p["x"]), ",")
-    return scanned.join(found, "row", "left").select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
+    parts = parts_of(disclosing(docs.select(F.col(text_col).alias("text")), support, disclosure))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "__text"):
+            out = []
+            for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                base = base_spans(text or "")
+                every = in_order(base + [(s, e, "term", "") for s, e in zip(terms[::2], terms[1::2], strict=True)])
+                named = lambda spans: ",".join(f"{kind}:{s}:{e}" for s, e, kind, _ in spans)
+                out.append((*(sum(kind == k for _, _, kind, _ in base) for k in KINDS), hashlib.sha256(named(base).encode()).hexdigest(), named(every)))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+
+    return marked(rows, parts).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with entities replaced by their kind and disclosing terms removed; ids must be unique."""
-    spans = personal_data(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    schema = docs.schema
+def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents with entities replaced by their kind and disclosing terms removed; where spans overlap, the first goes. A null text
+    stays null, repeated rows stay, and other columns are carried along."""
+    schema, at = docs.schema, docs.columns.index(text_col)
+    names = [f"c{i}" for i in range(len(schema))]
+    rows = docs.toDF(*names).withColumn("__text", F.col(names[at]))
+    parts = parts_of(disclosing(docs.select(F.col(text_col).alias("text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text_col):
-            at = batch.schema.get_field_index(text_col)
+        for batch in sliced(batches, "__text"):
             texts = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                parts, done = [], 0
-                for kind, s, e in ((k, int(a), int(b)) for k, a, b in (x.split(":") for x in (found or "").split(",") if x)):
+            for text, terms in zip(batch.column("__text").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                out, done = [], 0
+                for s, e, kind, _ in in_order(base_spans(text or "") + [(s, e, "term", "") for s, e in zip(terms[::2], terms[1::2], strict=True)]):
                     if s >= done:
-                        parts += [text[done:s], "" if kind == "term" else f"[{kind.upper()}]"]
+                        out += [text[done:s], "" if kind == "term" else f"[{kind.upper()}]"]
                         done = e
-                texts.append(None if text is None else "".join(parts) + text[done:])
-            columns = batch.columns[:-1]
+                texts.append(None if text is None else "".join(out) + text[done:])
+            columns = batch.columns[: len(names)]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["__id"]), "left").drop("__id")
-    return joined.mapInArrow(run, schema)
+    return marked(rows, parts).mapInArrow(run, schema)

@@ -1,9 +1,11 @@
 import hashlib
+import math
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from enthyme.llm import pii
 from enthyme.llm.pii import KINDS, base_spans, personal_data, sanitised
 
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -34,6 +36,52 @@ def test_no_text_makes_the_patterns_slow():
         base_spans(text)
 
 
+def brute_terms(rows):
+    """{term: share} of the terms that disclose an entity, by counting windows and contexts in plain loops."""
+    words = lambda t: [w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)]
+    contexts, windows = {}, []
+    for _, t in rows:
+        t = t or ""
+        every = words(t)
+        windows += [set(every[i : i + 21]) for i in range(0, len(every), 21)]
+        spans = base_spans(t)
+        outside = "".join(" " if any(s <= i < e for s, e, _, _ in spans) else c for i, c in enumerate(t)) if spans else ""
+        for s, e, kind, value in spans:
+            near = words(outside[:s])[-10:] + words(outside[e:])[:10]
+            if near:
+                contexts.setdefault((kind, value), set()).add(tuple(near))
+    out = {}
+    for seen in contexts.values():
+        for t in {w for c in seen for w in c}:
+            both = sum(t in c for c in seen)
+            if both >= 3:
+                n = max(both, sum(t in w for w in windows))
+                information = math.log(len(windows) / len(seen))
+                if information > 0 and math.log(both * len(windows) / (n * len(seen))) >= 0.8 * information:
+                    out[t] = n
+    return out
+
+
+def test_terms_are_marked_everywhere(documents, monkeypatch):
+    """A disclosing term is a span far from the mention, and in texts without it; with lists of one term each too."""
+    pad = " ".join(f"{w}{v}" for w in ("alpha", "gamma", "delta", "omega") for v in ("xa", "yb", "zc", "wd", "ve", "uf"))
+    rows = [(i, f"{'uvwxyz'[i]}uno the {'uvwxyz'[i]}dos wizard bob@x.org mailed {'uvwxyz'[i]}tres {pad} {pad} Wizard") for i in range(5)]
+    rows += [(10, f"{pad} the wizard came"), *((20 + i, f"the {pad} " * 8) for i in range(40))]
+    want = brute_terms(rows)
+    assert "wizard" in want and "the" not in want
+    for most in (2_000_000, 1):
+        monkeypatch.setattr(pii, "MOST_TERMS", most)
+        got = {r.doc_id: r.spans for r in personal_data(documents(rows)).collect()}
+        for i, t in rows:
+            taken = [(s, e) for s, e, _, _ in base_spans(t)]
+            places = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in want and not any(a < m.end() and m.start() < b for a, b in taken)]
+            assert sorted(x for x in got[i].split(",") if x.startswith("term")) == sorted(places)
+    clean = {r.doc_id: r.text for r in sanitised(documents(rows)).collect()}
+    assert "izard" not in "".join(clean.values()) and clean[10].startswith("alphaxa")
+    twice = sanitised(documents([rows[0], rows[0], (0, None)])).collect()
+    assert len(twice) == 3 and sorted(str(r.text)[:4] for r in twice)[0] == "None"
+
+
 def test_rows_and_disclosing_terms(documents):
     fillers = [f"{w} {w}er {w}ing" for w in ("alpha", "gamma", "delta", "omega", "sigma", "kappa")]
     rows = [(i, f"the {f} wizard bob@x.org mailed the {f}") for i, f in enumerate(fillers)] + [(20 + i, f"the {f} {20 + i}.1.1.1 the other") for i, f in enumerate(fillers)]
@@ -47,6 +95,8 @@ def test_rows_and_disclosing_terms(documents):
         assert [x for x in r.spans.split(",") if x and not x.startswith("term:")] == base
     words = {text[r.doc_id][int(s) : int(e)] for r in got if r.doc_id is not None for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "term"}
     assert words == {"wizard", "mailed"}  # they stand beside that address only; "the" and the fillers are anywhere
+    counted = {t: n for t, n in brute_terms(rows).items()}
+    assert words == set(counted)
     clean = {r.doc_id: r.text for r in sanitised(documents(rows[:3])).collect()}
     assert clean[0].startswith("the alpha") and "[EMAIL]" in clean[0] and "@" not in clean[0]
     assert personal_data(documents([])).collect() == []
