@@ -1,7 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows; DataFrame and SQL functions only.
 
-A benchmark item of L words is compared with windows of L words of the documents. A window at the required similarity shares at least one
-shingle with its item, so only windows that a shared shingle aligns with an item are fingerprinted. Fingerprints are
+A benchmark item of L words is compared with windows of L words of the documents. Fingerprinted are the windows that can be the best one:
+a shingle at word i of a document and word j of the item lies on the diagonal i - j. A window that begins before all diagonals
+of the shingles it shares, or after them, shares no more than the one that begins at the nearest of them. If it begins between
+two that are g apart, g words are inserted or left out, so g + 4 of the L - 4 shingles or more are not shared; similarity 0.8
+leaves a ninth. So windows begin on a diagonal or up to (L - 4) / 9 - 4 words after one (`FOLLOWING`). Fingerprints are
 64-bit SimHashes of a window's words. They are looked up in a multi-index: six blocks of the fingerprint, of which one
 differs in at most two bits if the whole differs in at most RADIUS = 17, so every item within the radius is found. Each
 candidate is then verified: Jaccard similarity of the shingles weighted by how often they occur, 0.8 or more.
@@ -24,6 +27,8 @@ from .common import saved, sized
 SHINGLE, RADIUS = 5, 17
 #: Offsets and widths of the blocks of a fingerprint, and how many bits of a block may differ.
 BLOCKS, FLIPS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)), RADIUS // 6
+#: SQL: how many starts after a diagonal may be the best window's, for an item of n words.
+FOLLOWING = "greatest(0, (n - 4) DIV 9 - 4)"
 NOT_WORD = r"[^\\p{L}\\p{N}]+"
 #: Benchmarks of up to this many shingles are broadcast (about 60 bytes each); larger ones are shuffled.
 BROADCAST_SHINGLES = 500_000
@@ -87,10 +92,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for j, k in reversed(list(enumerate(sizes))):
         base = " + ".join(f"parts[{x}]" for x in range(j)) or "0"
         start = f"CASE WHEN k = {k} THEN i - ({base}) ELSE {start} END"
-    seeds = seeds.selectExpr("id", "n", "k", f"greatest(0, least({start} - at, size - n)) AS start").distinct()
-    seeds = saved(seeds, "seeds")
+    seeds = seeds.selectExpr("id", "n", "k", "size", f"{start} - at AS diagonal").distinct()
+    seeds = seeds.selectExpr("id", "n", "k", "size", f"explode(sequence(diagonal, diagonal + {FOLLOWING})) AS start")
+    seeds = saved(seeds.selectExpr("id", "n", "k", "greatest(0, least(start, size - n)) AS start").distinct(), "seeds")
 
-    windows = words.join(sized(seeds.withColumnRenamed("id", "seed_id")), F.expr("id <=> seed_id"))
+    windows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(sized(seeds.withColumnRenamed("id", "seed_id")), F.expr("id <=> seed_id"))
+    windows = windows.selectExpr("id", "n", "k", "start", HASHES + " AS hashes")  # after the join: few texts have a seed
     windows = windows.selectExpr("id", "n", "k", "start", "slice(hashes, start + 1, n) AS hashes").filter("size(hashes) > 0")
     windows = windows.selectExpr("id", "n", "k", "start", f"{by_length(sizes)} AS runs", f"{SIMHASH} AS print")
     windows = windows.selectExpr("id", "n", "start", f"{numbered('runs')} AS runs", "print")
@@ -115,7 +122,7 @@ WITH w AS (
 ), ds AS (
   SELECT doc_id, len(w) AS size, i AS at, list_slice(w, i, i + 4) AS run FROM w, unnest(range(1, len(w) - 3)) AS r(i)
 ), seeds AS (
-  SELECT DISTINCT doc_id, n, greatest(0, least(ds.at - bs.at, size - n)) AS start FROM ds JOIN bs USING (run)
+  SELECT DISTINCT doc_id, n, greatest(0, least(ds.at - bs.at + g, size - n)) AS start FROM ds JOIN bs USING (run), unnest(range(0, greatest(0, (n - 4) // 9 - 4) + 1)) AS f(g)
 ), windows AS (
   SELECT doc_id, n, start, list_slice(w, start + 1, start + n) AS w FROM seeds JOIN w USING (doc_id)
 ), wr AS (

@@ -57,3 +57,32 @@ def test_leaks_against_brute_force(documents, spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
     assert len(got) == len(want) and len(want) > 40
     assert contaminated(documents([]), bench).collect() == [] and contaminated(documents(docs), bench.limit(0)).collect() == []
+
+
+def test_inserted_and_omitted_words(documents, spark):
+    """Recall at the radius, by length of item: items with words inserted, left out, moved and changed, the best windows among them."""
+    rng = random.Random(11)
+    vocabulary = [f"word{i}" for i in range(900)]
+    sizes = [6, 12, 25, 50, 80, 120, 200]
+    items = [(i, " ".join(rng.choices(vocabulary, k=sizes[i % 7]))) for i in range(35)]
+    docs = []
+    for d in range(210):
+        w = items[d % 35][1].split()
+        for _ in range(rng.randrange(1, 2 + len(w) // 40)):
+            at = rng.randrange(len(w))
+            kind = rng.randrange(3)
+            if kind == 0:
+                w[at:at] = rng.choices(vocabulary, k=rng.randrange(1, 2 + len(w) // 30))
+            elif kind == 1:
+                del w[at : at + rng.randrange(1, 2 + len(w) // 30)]
+            else:
+                w[at] = rng.choice(vocabulary)
+        edge = lambda: rng.choices(vocabulary, k=rng.choice([0, 1, 3, 40]))
+        docs.append((d, " ".join(edge() + w + edge())))
+    want = {k: v for x in docs for k, v in brute([x], [items[x[0] % 35]]).items()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in contaminated(documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for n in sizes:
+        pairs = [k for k in want if sizes[k[1] % 7] == n]
+        assert pairs or n < 25
+        assert sum(k in got for k in pairs) >= 0.99 * len(pairs)
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
