@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 from ..plans.tables import materialised
 
 ATTACKS = ("attack", "undercut", "contradictory", "contrary")
-#: Simple routes and loops found before the search stops, as the definitions have it.
-ROUTE_CAP, LOOP_CAP = 200, 50
 
 
-def distances(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
+def distances(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, dist): fewest edges from a seed (column node) along src -> dst."""
-    edges = edges.select("src", "dst").distinct()
+    edges = materialised(edges.select("src", "dst").distinct())
+    n_files = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen = frontier = materialised(seeds.select("node").distinct().withColumn("dist", F.lit(0)))
-    for step in range(1, most + 1):
+    for step in count(1):
         reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = materialised(reached.join(seen, "node", "left_anti").withColumn("dist", F.lit(step)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if step % 8 == 0:  # a few files to read, however deep the graph
+            seen = materialised(seen.coalesce(n_files))
     return seen
 
 
@@ -47,18 +48,18 @@ def contribution(edges: DataFrame) -> DataFrame:
     return nodes.join(by_any, "node", "left").join(by_support, "node", "left").select("node", role.alias("role"), "dist", "dist_support")
 
 
-def closure_sizes(edges: DataFrame, most: int = 50) -> DataFrame:
+def closure_sizes(edges: DataFrame) -> DataFrame:
     """(node, load): how many nodes lie beneath a node, along dst -> src. Pairs (node, beneath) grow by doubling, so the rounds are
     the logarithm of the depth; on a graph with long chains the pairs, not the rounds, are the cost."""
     pairs = materialised(edges.select(F.col("dst").alias("top"), F.col("src").alias("below")).filter("top <> below").distinct())
-    count = pairs.count()
-    for _ in range(most):
+    size = pairs.count()
+    while True:
         more = pairs.alias("a").join(pairs.alias("b"), F.col("a.below") == F.col("b.top")).select("a.top", "b.below")
         pairs = materialised(pairs.union(more).distinct())
         now = pairs.count()
-        if now == count:
+        if now == size:
             break
-        count = now
+        size = now
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return nodes.join(pairs.filter("top <> below").groupBy(F.col("top").alias("node")).agg(F.count("*").alias("load")), "node", "left").select("node", F.coalesce("load", F.lit(0)).alias("load"))
 
@@ -79,17 +80,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("to").alias("component"))
 
 
-def systems(edges: DataFrame, most: int = 50) -> DataFrame:
+def systems(edges: DataFrame) -> DataFrame:
     """(node, system): sets of two nodes or more that all reach each other, named by the smallest. By mutual reachability, so for
     the graphs of cases and mechanisms, which are small; many of them go in one call when src and dst carry the graph's key."""
     pairs = materialised(edges.select("src", "dst").distinct())
-    count = pairs.count()
-    for _ in range(most):
+    size = pairs.count()
+    while True:
         pairs = materialised(pairs.union(pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")).distinct())
         now = pairs.count()
-        if now == count:
+        if now == size:
             break
-        count = now
+        size = now
     mutual = pairs.join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
     named = mutual.groupBy("src").agg(F.min("dst").alias("system"), F.count_distinct("dst").alias("n"))
     return named.filter("n > 1").select(F.col("src").alias("node"), "system")
@@ -104,14 +105,14 @@ def net_sign(signs: Column) -> Column:
     return F.when(unsure, "?").when(F.size(F.filter(signs, lambda s: s == "-")) % 2 == 1, "-").otherwise("+")
 
 
-def routes(steps: DataFrame, starts: DataFrame, goals: DataFrame, most: int = 8) -> DataFrame:
-    """(start, goal, path, signs, regimes): simple routes of up to `most` steps. steps are (src, dst, sign, regime); a route stays in one
-    regime, and a step with an empty regime holds in all. Paths grow one step a round, all starts together."""
+def routes(steps: DataFrame, starts: DataFrame, goals: DataFrame, most: int | None = None) -> DataFrame:
+    """(start, goal, path, signs, regimes): simple routes, of up to `most` steps if that is given; else the search ends when no path
+    grows. steps are (src, dst, sign, regime); a route stays in one regime, and a step with an empty regime holds in all. Paths grow one step a round, all starts together."""
     steps = steps.select("src", "dst", "sign", "regime").distinct()
     goals = goals.select(F.col("node").alias("goal")).distinct()
     paths = starts.select(F.col("node").alias("start"), F.array("node").alias("path"), F.array().cast("array<string>").alias("signs"), F.lit("").alias("regime")).distinct()
     found = None
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         last = F.element_at("path", -1)
         grown = paths.withColumn("at", last).join(steps.withColumnRenamed("regime", "step_regime"), F.col("at") == F.col("src"))
         grown = grown.filter(~F.array_contains("path", F.col("dst")) & ((F.col("regime") == "") | (F.col("step_regime") == "") | (F.col("regime") == F.col("step_regime"))))

@@ -30,11 +30,11 @@ def entries(states: DataFrame, links: DataFrame) -> DataFrame:
     return out.join(declared, ["map_id", "node"], "left_semi").union(out.join(into, ["map_id", "node"], "left_anti").join(known, ["map_id", "node"], "left_semi")).distinct()
 
 
-def reached(links: DataFrame, seeds: DataFrame, most: int = 200) -> DataFrame:
+def reached(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(map_id, node) reachable from the seeds, which count."""
     links = links.select("map_id", "src", "dst").distinct()
     seen = frontier = materialised(seeds.distinct())
-    for _ in range(most):
+    while True:
         new = frontier.join(links, (frontier["map_id"] == links["map_id"]) & (frontier["node"] == links["src"])).select(links["map_id"], F.col("dst").alias("node")).distinct()
         frontier = materialised(new.join(seen, ["map_id", "node"], "left_anti"))
         if frontier.isEmpty():
@@ -61,7 +61,7 @@ def gaps(states: DataFrame, steps: DataFrame) -> DataFrame:
     return unlinked.unionByName(unreached).unionByName(dead).unionByName(none(started, "no-intervention")).unionByName(none(outcomes, "no-outcome"))
 
 
-def firing(states: DataFrame, steps: DataFrame, fails: DataFrame | None = None, off: DataFrame | None = None, holds: DataFrame | None = None, most: int = 200) -> DataFrame:
+def firing(states: DataFrame, steps: DataFrame, fails: DataFrame | None = None, off: DataFrame | None = None, holds: DataFrame | None = None) -> DataFrame:
     """(map_id, node): states reached when some fail (map_id, id), steps are cut (map_id, src, dst) or blockers hold (map_id, id). A step
     fires if its cause and all its co-causes are reached and no held state blocks it; a state that nothing leads into is
     reached unless it fails."""
@@ -84,7 +84,7 @@ def firing(states: DataFrame, steps: DataFrame, fails: DataFrame | None = None,
         start = start.join(fails.select("map_id", F.col("id").alias("node")), key, "left_anti")
     seen = materialised(start)
     size = seen.count()
-    for _ in range(most):
+    while True:
         met = needs.join(seen, key).groupBy("map_id", "rule", "dst", "need").agg(F.count_distinct("node").alias("met")).filter("met = need")
         seen = materialised(seen.union(met.select("map_id", F.col("dst").alias("node"))).distinct())
         count = seen.count()

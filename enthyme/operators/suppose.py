@@ -24,7 +24,7 @@ def closed(suppositions: DataFrame, attacks: DataFrame) -> DataFrame:
     return suppositions.select("scenario", "id", "holds").unionByName(denied).groupBy("scenario", "id").agg(F.min("holds").alias("holds"))
 
 
-def holding(statements: DataFrame, arguments: DataFrame, inputs: DataFrame, suppositions: DataFrame, scenarios: DataFrame, cuts: DataFrame | None = None, most: int = 100) -> DataFrame:
+def holding(statements: DataFrame, arguments: DataFrame, inputs: DataFrame, suppositions: DataFrame, scenarios: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """(scenario, id) of the statements that hold in each scenario."""
     live = scenarios.select("scenario").distinct()
     # what a scenario changes is kept apart from what holds anyway, so only scenario rows multiply
@@ -38,7 +38,7 @@ def holding(statements: DataFrame, arguments: DataFrame, inputs: DataFrame, supp
     # a stated set of scenarios against all basic statements: every scenario has its own truth for each
     now = materialised(live.join(basic, how="cross").select("scenario", "id").join(denied, ["scenario", "id"], "left_anti").union(held).distinct())
     size = now.count()
-    for _ in range(most):
+    while True:
         met = now.join(inputs.distinct(), now["id"] == inputs["input"]).groupBy("scenario", "arg").agg(F.count_distinct("input").alias("met"))
         goes = met.join(lines, "arg").filter("met = need")
         free = live.join(lines.filter("need = 0"), how="cross").select("scenario", "arg", "concludes")

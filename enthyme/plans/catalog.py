@@ -524,3 +524,6 @@ def witness_agreement(spark, d):
     first = docs.groupBy("head").agg(F.min("doc_id").alias("a"), F.min_by("text", "doc_id").alias("text_a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return collate.agreement(docs.join(first, "head").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), "text_a", F.col("text").alias("text_b")))
 
+
+
+from . import chains  # noqa: E402, F401  (registers its queries here)
