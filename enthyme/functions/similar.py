@@ -1,7 +1,8 @@
 """Near matches of a quotation, where it is not in a text word for word.
 
 Runs of five characters that both share vote for the place at which the quotation would begin; neighbouring votes are one
-candidate. Candidates are scored by sequence comparison, those with the most votes first, down to half of the most.
+candidate, if they are a fifth of the quotation's runs or more. Candidates are scored by sequence comparison, those with the most
+votes first, down to half of the most.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame
 
 # Fixed value: the least ratio of a near match.
 LEAST = 0.75
-#: Characters in a run that votes.
-RUN = 5
+#: Characters in a run that votes, and the share of the runs that must vote for a place.
+RUN, VOTES = 5, 0.2
 
 
 def runs(text: str) -> np.ndarray:
@@ -44,11 +45,11 @@ def begins(quote: str, text: str) -> list[tuple[int, int]]:
     wide = max(8, len(quote) // 8)  # edits shift what follows them by a few characters
     cells, votes = np.unique(np.floor_divide(places, wide), return_counts=True)
     firsts = {int(c): int(p) for c, p in zip(np.floor_divide(places, wide)[::-1], places[::-1], strict=True)}
-    return sorted(((int(v), max(0, firsts[int(c)])) for c, v in zip(cells, votes, strict=True)), key=lambda x: (-x[0], x[1]))
+    return sorted(((int(v), max(0, firsts[int(c)])) for c, v in zip(cells, votes, strict=True) if v >= VOTES * len(own)), key=lambda x: (-x[0], x[1]))
 
 
 def nearest(quote: str, text: str) -> tuple[float, int]:
-    """The best ratio of a stretch of the text as long as the quotation, and where it starts (-1: they share no run)."""
+    """The best ratio of a stretch of the text as long as the quotation, and where it starts (-1: no place has the votes)."""
     best, place = 0.0, -1
     found = begins(quote, text)
     matcher = SequenceMatcher(None, autojunk=False)

@@ -443,12 +443,9 @@ def sign_product(spark, d):
 # ---------------------------------------------------------------- near matches, chains, steps
 @query()
 def near_quotations(spark, d):
-    """Benchmark passages that a paragraph holds most words of, by the likeness of their best window. Rows only: the ratio has no SQL."""
-    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    near = quotes.scored(items, docs, "item_id", "doc_id", "text").filter("score >= 0.6").select(F.col("claim_id").alias("quote_id"), "source_id", "line")
-    body = quotes.paragraphs(docs).select("source_id", "line", tx.folded(F.col("paragraph")).alias("body"))
-    asked = items.select(F.col("item_id").alias("quote_id"), tx.folded(F.col("text")).alias("quote"))
-    return similar.near_quotations(near.join(body, ["source_id", "line"]).join(small(asked), "quote_id"))
+    """Benchmark passages and documents that hold a tenth of their runs of three words or more, by the likeness of the best stretch of the
+    whole text. Rows only: the ratio has no SQL."""
+    return similar.near_quotations(quotes.sharing_runs(table(spark, d, "benchmark"), table(spark, d, "documents")))
 
 
 CHAINS = """states AS (SELECT DISTINCT c_mktsegment AS map_id, 'n' || c_nationkey AS id, CASE WHEN c_nationkey < 3 THEN 'intervention' WHEN c_nationkey > 21 THEN 'outcome' END AS role FROM customer),

@@ -22,7 +22,7 @@ S = """s AS (SELECT o_orderpriority AS map_id, 't' || (o_orderkey % 40) AS title
 causal AS (SELECT * FROM s WHERE NOT nul AND NOT assoc AND NOT selects), own AS (SELECT * FROM s WHERE layer = 'text'), said AS (SELECT * FROM causal WHERE layer = 'text')"""
 
 
-def _steps(spark, d) -> DataFrame:
+def _steps(spark, d, map_id=None) -> DataFrame:
     def pick(value, *cases, last=None):
         out = F.lit(last)
         for k, v in reversed(cases):
@@ -33,7 +33,7 @@ def _steps(spark, d) -> DataFrame:
     node = lambda c: F.concat(F.lit("n"), c.cast("string"))
     one = lambda c: F.when(c.isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
     columns = {
-        "map_id": F.col("o_orderpriority"),
+        "map_id": F.col("o_orderpriority") if map_id is None else map_id,
         "title": F.concat(F.lit("t"), (key % 40).cast("string")),
         "src": node(cust % 9),
         "dst": node(F.floor(key / 4) % 10),
@@ -336,10 +336,15 @@ VIA = """sg AS (SELECT map_id, src, dst, CASE WHEN count(DISTINCT sign) = 1 THEN
 v AS (SELECT DISTINCT o.map_id, o.title, o.src, o.dst, o.through, o.sign, x.h AS h1, y.h AS h2 FROM said o LEFT JOIN sg x ON x.map_id = o.map_id AND x.src = o.src AND x.dst = o.through LEFT JOIN sg y ON y.map_id = o.map_id AND y.src = o.through AND y.dst = o.dst WHERE o.through IS NOT NULL)"""
 
 
-@query(f"WITH {S}, {VIA} " + sql_rule("via-not-stated", "?", PAIR, "v WHERE h1 IS NULL OR h2 IS NULL") + " UNION ALL "
+#: A map for each claim, priority and tenth of the customers, so that hops have one sign.
+FINE = S.replace("o_orderpriority AS map_id", "o_orderpriority || ' t' || (o_orderkey % 40) || ' ' || (o_custkey % 10) AS map_id")
+
+
+@query(f"WITH {FINE}, {VIA} " + sql_rule("via-not-stated", "?", PAIR, "v WHERE h1 IS NULL OR h2 IS NULL") + " UNION ALL "
        + sql_rule("via-against-sign", "?", PAIR, "v WHERE h1 IN ('+', '-') AND h2 IN ('+', '-') AND sign IN ('+', '-') AND CASE WHEN h1 = h2 THEN '+' ELSE '-' END <> sign"))
 def rule_via_routes(spark, d):
-    return rules.all_of(rules.via_routes(_steps(spark, d)))
+    tenth = F.concat(F.col("o_orderpriority"), F.lit(" t"), (F.col("o_orderkey") % 40).cast("string"), F.lit(" "), (F.col("o_custkey") % 10).cast("string"))
+    return rules.all_of(rules.via_routes(_steps(spark, d, tenth)))
 
 
 CHAINS = "claims AS (SELECT DISTINCT map_id, 'chain ' || (substring(title, 2)::INT % 4) AS chain, title FROM s), declared AS (SELECT DISTINCT map_id, 'chain ' || k AS chain FROM s, range(1, 6) AS g(k))"
@@ -450,11 +455,11 @@ def fold_state(spark, d):
     return positions.folded(rows, steps.select("map_id", F.lit("n4").alias("state")).distinct())
 
 
-@query(f"""WITH RECURSIVE {S}, {RELATIONS}, e AS (SELECT DISTINCT map_id, a AS src, b AS dst FROM rel WHERE a <> b), apex AS (SELECT DISTINCT map_id, dst AS node FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.map_id = x.map_id AND y.src = x.dst)),
+@query(f"""WITH RECURSIVE {S}, {RELATIONS}, e AS (SELECT DISTINCT map_id, a AS src, b AS dst FROM rel WHERE substring(a, 2)::INT > substring(b, 2)::INT), apex AS (SELECT DISTINCT map_id, dst AS node FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.map_id = x.map_id AND y.src = x.dst)),
 r AS (SELECT map_id, node, 0 AS depth FROM apex UNION SELECT r.map_id, e.src, r.depth + 1 FROM r JOIN e ON e.map_id = r.map_id AND e.dst = r.node WHERE r.depth < 41) SELECT map_id, node, min(depth)::INT AS depth FROM r GROUP BY ALL""")
 def claim_depths(spark, d):
     node = lambda c: F.struct("map_id", F.col(c).alias("t"))
-    e = _relations(_steps(spark, d)).filter("a <> b").select("map_id", node("a").alias("src"), node("b").alias("dst")).distinct()
+    e = _relations(_steps(spark, d)).filter(F.substring("a", 2, 9).cast("int") > F.substring("b", 2, 9).cast("int")).select("map_id", node("a").alias("src"), node("b").alias("dst")).distinct()
     apex = e.select(F.col("dst").alias("node")).distinct().join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
     return positions.depths(e, apex).select("node.map_id", F.col("node.t").alias("node"), "depth")
 
