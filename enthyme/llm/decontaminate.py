@@ -96,8 +96,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     seeds = seeds.selectExpr("id", "n", "k", "size", f"explode(sequence(diagonal, diagonal + {FOLLOWING})) AS start")
     seeds = saved(seeds.selectExpr("id", "n", "k", "greatest(0, least(start, size - n)) AS start").distinct(), "seeds")
 
-    windows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(sized(seeds.withColumnRenamed("id", "seed_id")), F.expr("id <=> seed_id"))
-    windows = windows.selectExpr("id", "n", "k", "start", HASHES + " AS hashes")  # after the join: few texts have a seed
+    # a text is hashed once, and only if it has a seed
+    seeded = saved(seeds.select(F.col("id").alias("seed_id")).distinct(), "seeded")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(sized(seeded), F.expr("id <=> seed_id"), "left_semi")
+    windows = texts.selectExpr("id", HASHES + " AS hashes").join(sized(seeds.withColumnRenamed("id", "seed_id")), F.expr("id <=> seed_id"))
     windows = windows.selectExpr("id", "n", "k", "start", "slice(hashes, start + 1, n) AS hashes").filter("size(hashes) > 0")
     windows = windows.selectExpr("id", "n", "k", "start", f"{by_length(sizes)} AS runs", f"{SIMHASH} AS print")
     windows = windows.selectExpr("id", "n", "start", f"{numbered('runs')} AS runs", "print")
