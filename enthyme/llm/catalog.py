@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fill_middle, html_text, language_id, license_scan, mixing, ngram_join, pii, substring_dedup, url_filter
+from . import decontaminate, exact_dedup, fill_middle, html_text, language_id, lexical_search, license_scan, mixing, ngram_join, pii, substring_dedup, url_filter
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pii": lambda spark, d: pii.personal_data(table(spark, d, "documents")),
     "op9_url_filter": lambda spark, d: url_filter.url_verdicts(table(spark, d, "pages")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.duplicate_groups(table(spark, d, "documents")),
+    "op11_lexical_search": lambda spark, d: lexical_search.ranked(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op12_fill_middle": lambda spark, d: fill_middle.digests(table(spark, d, "documents")),
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op1_decontamination": decontaminate.SQL,
     "op9_url_filter": url_filter.oracle(),
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_lexical_search": lexical_search.SQL,
     "op12_fill_middle": fill_middle.SQL,
 }
