@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fill_middle, html_text, language_id, lexical_search, license_scan, mixing, ngram_join, pii, substring_dedup, url_filter
+from . import decontaminate, exact_dedup, fill_middle, html_text, language_id, lexical_search, license_scan, mixing, ngram_join, pii, substring_dedup, suffix_dedup, url_filter
 from .common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_exact_dedup": lambda spark, d: exact_dedup.duplicate_groups(table(spark, d, "documents")),
     "op11_lexical_search": lambda spark, d: lexical_search.ranked(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op12_fill_middle": lambda spark, d: fill_middle.digests(table(spark, d, "documents")),
+    "op13_suffix_dedup": lambda spark, d: suffix_dedup.without_repeats(table(spark, d, "documents")).drop("kept"),
 }
 
 ORACLE_SQL = {
