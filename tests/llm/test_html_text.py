@@ -1,3 +1,4 @@
+import random
 import time
 
 from enthyme.llm.html_text import extracted, main_text
@@ -70,3 +71,58 @@ def test_time_is_linear():
         begin = time.time()
         main_text(page)
         assert time.time() - begin < 15
+
+
+def test_parts_with_other_names():
+    page = """<main><h1>Title</h1><p>One.</p><div class="comment"><p>No.</p></div><section id="comments-section"><p>No.</p></section><div class="promo-box">No.</div>
+    <div class="advertisement-block">No.</div><div class="post-comments">No.</div><p>Two.</p><div class="social-history">Kept</div></main><article class="teaser"><p>Another page.</p></article>
+    <article class="comment"><p>No.</p></article>"""
+    assert main_text(page) == "Title\nOne.\nTwo.\nKept"
+    assert main_text('<article class="card"><p>All there is.</p></article>') == "All there is."
+    two = "<article><p>First article.</p></article><div>between</div><article><p>Second article</p></article>"
+    assert main_text(two) == "First article.\nSecond article" and main_text(two + two).count("First article.") == 2
+
+
+def test_regions_beside_the_text_belong_to_its_element():
+    body = "".join(f"<p>Paragraph {i} of the text, long enough to count as one.</p>" for i in range(4))
+    text = main_text(f"<h1>Title</h1><section></section><div>{body}<div class=ad>Buy</div><p>Last.</p></div><section></section><div>Buy our things now.</div>")
+    assert text.startswith("Title\n") and text.endswith("Last.") and "Buy" not in text
+
+
+LAYOUTS = {
+    "article": "<article>{}</article>",
+    "main": "<main><div>{}</div></main>",
+    "content": '<div id="content"><div class="inner">{}</div></div>',
+    "sections": "<section>{}</section>",
+    "table": "<table><tr><td>{}</td></tr></table>",
+    "bare": "{}",
+}
+
+
+def planted(rng, layout):
+    """(html, lines of the article): headings, paragraphs of any length, lists, marked and unmarked parts around and inside."""
+    say = lambda a, b: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(rng.randrange(a, b)))
+    links = lambda: "<div>" + " | ".join(f"<a href=/x>{say(1, 3)}</a>" for _ in range(rng.randrange(3, 9))) + "</div>"
+    article, lines = "", []
+    for k in range(rng.randrange(3, 12)):
+        tag, text = ("h2", say(2, 6)) if k % 4 == 0 else ("p", say(15, 90) + ".") if rng.random() < 0.8 else ("p", say(1, 6) + ".")
+        article += f"<{tag}>{text}</{tag}>"
+        lines.append(text)
+        if rng.random() < 0.3:
+            article += rng.choice(['<div class="ad">Buy {}!</div>', '<aside>{}</aside>', "<form><label>{}</label></form>", '<div class="share-buttons">{}</div>', "<script>var x='{}'</script>"]).format(say(2, 8))
+    before = [links() if rng.random() < 0.5 else f"<nav>{links()}</nav>", f"<header>{say(2, 5)}</header>", f'<div class="cookie-banner">{say(5, 20)}.</div>']
+    after = [f"<footer>{say(3, 12)}.</footer>", links(), "<div>Copyright 2020 " + say(1, 3) + "</div>", f'<div class="comments"><p>{say(5, 40)}.</p></div>']
+    return "<html><head><title>T</title></head><body>" + "".join(before) + "<section></section>" + LAYOUTS[layout].format(article) + "<section></section>" + "".join(rng.sample(after, 3)) + "</body></html>", lines
+
+
+def test_recall_and_precision_by_layout():
+    rng = random.Random(5)
+    for layout in LAYOUTS:
+        right = wanted = found = 0
+        for _ in range(60):
+            page, lines = planted(rng, layout)
+            got = main_text(page).split("\n")
+            right += len(set(got) & set(lines))
+            wanted += len(lines)
+            found += len(got)
+        assert right >= 0.95 * wanted and right >= 0.95 * found, (layout, right / wanted, right / found)
