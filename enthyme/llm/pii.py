@@ -1,16 +1,16 @@
 """Personal data by patterns, and terms that reveal it by information theory.
 
-Patterns find the protected entities: e-mail addresses, IP addresses, card numbers that pass Luhn, telephone numbers. The terms
-nearest to a mention on either side are its context. Over the distinct contexts of the whole corpus (copies of a text are no new
-evidence) and over all windows of as many terms in all texts, co-occurrence gives each term t and entity e a pointwise mutual
-information; divided by the information content of e it says what share of e's information t discloses. A term that stands in
-at least SUPPORT distinct contexts of an entity, with a share of DISCLOSURE or more, discloses it; it is a span of kind `term`
-at every place of every text, whether the entity is named there or not. `sanitised` generalises entities to their kind and
-removes the terms.
-
-Three passes: contexts of mentions; how many windows hold each candidate term; spans. Terms are 64-bit hashes. The lists of
-terms that go to the executors hold at most MOST_TERMS; with more candidates all terms are counted, with more disclosing
-terms the last pass is made once for each part of the list.
+Patterns find the protected entities: e-mail addresses, IP addresses, card numbers that pass Luhn, telephone numbers. A text is then a
+sequence of terms and mentions of entities, read through every sliding window of WINDOW of them, windows that hang over its ends included.
+Over the windows of all texts, copies too, the windows that hold a term t, an entity e and both give them a pointwise mutual
+information; divided by the information content of e it says what share of e's information t discloses. A term that stands with an
+entity in at least SUPPORT neighbourhoods that differ (copies of a text are no new evidence), with a share of DISCLOSURE or more, discloses it; it is
+a span of kind `term` at every place of every text, whether the entity is named there or not. `sanitised` generalises entities to their kind
+and removes the terms.
+
+Three passes: windows that hold mentions; windows that hold each candidate term; spans. Terms are 64-bit hashes. The lists of
+terms that go to the executors hold at most MOST_TERMS and pass through the driver one by one; with more candidates all terms are
+counted, with more disclosing terms the last pass is made once for each part of the list.
 
 Defined results: a null text is empty and has no spans; matches that fail their test are dropped without another try; terms
 that overlap an entity are none; repeated rows give repeated results; an empty table gives an empty one; other columns
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import ceil_div, saved, sliced
 
 KINDS = ("email", "ip", "card", "phone")
-#: Terms on each side of a mention, distinct contexts that a term needs, share of the entity's information.
-AROUND, SUPPORT, DISCLOSURE = 10, 3, 0.8
+#: Terms and mentions in a window, neighbourhoods that a term needs, share of the entity's information.
+WINDOW, SUPPORT, DISCLOSURE = 21, 3, 0.8
 #: Hashes in a list that is sent to executors (16 MB), and counts that a task gathers before it hands them on.
 MOST_TERMS, GATHERED = 2_000_000, 200_000
 
@@ -109,31 +109,74 @@ def signed(value: str) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
+class Hashes(dict):
+    """Raw term to the hash of its lower-cased form, 0 for one that isn't wanted. Forgets everything at GATHERED entries."""
+
+    def __init__(self, wanted: np.ndarray | None) -> None:
+        self.wanted = wanted  # sorted
+
+    def __missing__(self, term: str) -> int:
+        if len(self) >= GATHERED:
+            self.clear()
+        h = signed(term.lower())
+        if self.wanted is not None:
+            k = int(np.searchsorted(self.wanted, h))
+            h = h if k < len(self.wanted) and self.wanted[k] == h else 0
+        self[term] = h
+        return h
+
+
+def sequence(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[int, str, str]]:
+    """(start, term, "") and (start, value, kind) in the order of the text."""
+    return sorted([(s, t, "") for t, s, _ in terms_of(text, spans)] + [(s, value, kind) for s, _, kind, value in spans])
+
+
 def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, context, terms) of every mention."""
+    """(entity, context, windows, terms, both) of every entity of a text: a hash of its neighbourhoods, how many windows hold it, and the
+    terms in them, with how many of those windows hold each."""
+    reach = WINDOW - 1
     for batch in sliced(batches, "text"):
         out = []
         for text in batch.column(0).to_pylist():
             spans = base_spans(text or "")
             if not spans:
                 continue
-            terms = terms_of(text, spans)
-            starts = [s for _, s, _ in terms]
-            for s, e, kind, value in spans:
-                near = [t for t, _, _ in terms[max(0, bisect_left(starts, s) - AROUND) : bisect_left(starts, s)] + terms[bisect_left(starts, e) :][:AROUND]]
-                if near:
-                    out.append((signed(f"{kind}:{value}"), signed(" ".join(near)), sorted({signed(t) for t in near})))
+            tokens = sequence(text, spans)
+            named: dict[str, list[int]] = {}
+            for k, (_, value, kind) in enumerate(tokens):
+                if kind:
+                    named.setdefault(f"{kind}:{value}", []).append(k)
+            for entity, places in named.items():
+                # a window goes by its last place: those with place k end at k to k + reach
+                low = places[0] - reach
+                held = np.zeros(places[-1] + 2 * reach + 2 - low, dtype=np.int64)
+                for k in places:
+                    held[k - low : k - low + WINDOW] = 1
+                before = np.concatenate([[0], np.cumsum(held)])
+                both: Counter[str] = Counter()
+                last: dict[str, int] = {}
+                near, done = [], max(0, low)
+                for place in places:
+                    for k in range(max(done, place - reach), min(len(tokens), place + WINDOW)):
+                        _, value, kind = tokens[k]
+                        near.append(f"{k - low}:{kind}:{value}")
+                        if not kind:
+                            both[value] += int(before[k - low + WINDOW] - before[max(k, last.get(value, k - WINDOW) + WINDOW) - low])
+                            last[value] = k
+                    done = max(done, place + WINDOW)
+                if both:
+                    out.append((signed(entity), signed(" ".join(near)), int(before[-1]), [signed(t) for t in both], list(both.values())))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["entity", "context", "terms"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["entity", "context", "windows", "terms", "both"])
 
 
 def windows_with(wanted: np.ndarray | None):
-    """(term, n): in how many windows of 2 * AROUND + 1 terms each wanted term stands (None: each term), as partial counts; under the term 0
-    the number of windows."""
-    known = None if wanted is None else set(wanted.tolist())
+    """(term, n): how many windows hold each wanted term (None: each term), as partial counts; under the term 0
+    the number of windows. wanted is sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[str, int] = {}
+        hashes = Hashes(wanted)
         counts: Counter[int] = Counter()
 
         def hand_on() -> pa.RecordBatch:
@@ -143,18 +186,19 @@ def windows_with(wanted: np.ndarray | None):
 
         for batch in sliced(batches, "text"):
             for text in batch.column(0).to_pylist():
-                words = TERM.findall((text or "").lower())
-                for i in range(0, len(words), 2 * AROUND + 1):
-                    counts[0] += 1
-                    for w in set(words[i : i + 2 * AROUND + 1]):
-                        h = hashes.get(w)
-                        if h is None:
-                            if len(hashes) >= GATHERED:
-                                hashes.clear()
-                            h = signed(w)
-                            hashes[w] = h = h if known is None or h in known else 0
-                        if h:
-                            counts[h] += 1
+                spans = base_spans(text or "")
+                if spans:
+                    tokens = [0 if kind else hashes[t] for _, t, kind in sequence(text, spans)]
+                else:
+                    tokens = [hashes[t] for t in TERM.findall(text or "")]
+                if not tokens:
+                    continue
+                counts[0] += len(tokens) + WINDOW - 1
+                last: dict[int, int] = {}
+                for k, h in enumerate(tokens):
+                    if h:
+                        counts[h] += min(WINDOW, k - last.get(h, k - WINDOW))
+                        last[h] = k
                 if len(counts) >= GATHERED:
                     yield hand_on()
         if counts:
@@ -163,73 +207,71 @@ def windows_with(wanted: np.ndarray | None):
     return run
 
 
+def sorted_terms(terms: DataFrame) -> np.ndarray:
+    """At most about MOST_TERMS."""
+    return np.sort(terms.toArrow().column("term").to_numpy())
+
+
 def disclosing(texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(term), saved: the terms that disclose at least that share of some entity's information. texts has one column, text."""
-    found = texts.mapInArrow(mentions, "entity long, context long, terms array<long>")
-    contexts = saved(found.groupBy("entity", "context").agg(F.first("terms").alias("terms")), "contexts")
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = contexts.join(entities, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te"))
-    pairs = saved(pairs.filter(F.col("n_te") >= support), "pairs")
+    found = texts.mapInArrow(mentions, "entity long, context long, windows long, terms array<long>, both array<long>")
+    contexts = found.groupBy("entity", "context").agg(F.count("*").alias("copies"), F.first("windows").alias("windows"), F.first(F.arrays_zip("terms", "both")).alias("terms"))
+    contexts = saved(contexts, "contexts")
+    entities = contexts.groupBy("entity").agg(F.sum(F.col("copies") * F.col("windows")).alias("n_e"))
+    held = contexts.select("entity", "copies", F.explode("terms").alias("t")).groupBy("entity", F.col("t.terms").alias("term"))
+    pairs = held.agg(F.sum(F.col("copies") * F.col("t.both")).alias("n_te"), F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
+    pairs = saved(pairs.join(entities, "entity"), "pairs")
     candidates = saved(pairs.select("term").distinct(), "candidates")
-    if candidates.isEmpty():
+    n = candidates.count()
+    if not n:
         return candidates
-    wanted = candidates.toArrow().column("term").to_numpy() if candidates.count() <= MOST_TERMS else None
+    wanted = sorted_terms(candidates) if n <= MOST_TERMS else None
     counts = saved(texts.mapInArrow(windows_with(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t")), "counts")
     total = float(counts.filter("term = 0").first().n_t)
-    # a context is a window too; a term that only overlapping ones hold has as many windows as contexts at least
-    seen = F.greatest("n_t", "n_te")
-    pmi = F.log(F.col("n_te") * F.lit(total) / (seen * F.col("n_e")))
+    pmi = F.log(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
     information = F.log(F.lit(total) / F.col("n_e"))
     known = pairs.join(counts, "term").filter((information > 0) & (pmi >= disclosure * information))
     return saved(known.select("term").distinct(), "disclosing")
 
 
-def parts_of(terms: DataFrame) -> list[np.ndarray]:
-    """The terms as sorted lists of at most about MOST_TERMS."""
-    n = ceil_div(terms.count(), MOST_TERMS) or 1
-    return [np.sort(terms.filter(F.pmod("term", F.lit(n)) == i).toArrow().column("term").to_numpy()) for i in range(n)]
+def parts_of(terms: DataFrame) -> Iterator[np.ndarray]:
+    """The terms as sorted lists of at most about MOST_TERMS, one after the other."""
+    n = ceil_div(terms.count(), MOST_TERMS)
+    for i in range(n):
+        yield sorted_terms(terms.filter(F.pmod("term", F.lit(n)) == i))
 
 
-def term_spans(text: str, spans: list[tuple[int, int, str, str]], wanted: set[int], hashes: dict[str, int]) -> list[tuple[int, int, str, str]]:
-    out = []
-    if wanted:
-        for t, s, e in terms_of(text, spans):
-            h = hashes.get(t)
-            if h is None:
-                if len(hashes) >= GATHERED:
-                    hashes.clear()
-                h = hashes[t] = signed(t)
-            if h in wanted:
-                out.append((s, e, "term", t))
-    return out
+def term_spans(text: str, spans: list[tuple[int, int, str, str]], hashes: Hashes) -> list[tuple[int, int, str, str]]:
+    return [(s, e, "term", t) for t, s, e in terms_of(text, spans) if hashes[t]]
 
 
 def in_order(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     return sorted(spans, key=lambda x: (x[0], (*KINDS, "term").index(x[2]), x[1]))
 
 
-def marked(rows: DataFrame, parts: list[np.ndarray]) -> DataFrame:
+def marked(rows: DataFrame, parts: Iterator[np.ndarray]) -> DataFrame:
     """Rows (..., text) with the column `terms`: start and end of each place of a disclosing term."""
     rows = rows.withColumn("terms", F.array().cast("array<int>"))
     schema = rows.schema
 
     def mark(part: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted, hashes = set(part.tolist()), {}
+            hashes = Hashes(part)
             for batch in sliced(batches, "__text"):
                 out = []
                 for text, before in zip(batch.column("__text").to_pylist(), batch.column("terms").to_pylist(), strict=True):
-                    found = term_spans(text or "", base_spans(text or ""), wanted, hashes)
+                    found = term_spans(text or "", base_spans(text or ""), hashes)
                     out.append((before or []) + [x for s, e, _, _ in found for x in (s, e)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int32()))], schema.names)
 
         return run
 
+    before = None
     for part in parts:
-        if len(part):
-            rows = rows.mapInArrow(mark(part), schema)
-            rows = saved(rows, "marked") if len(parts) > 1 else rows
-    return rows
+        if before is not None:
+            rows = saved(rows.mapInArrow(mark(before), schema), "marked")
+        before = part
+    return rows if before is None else rows.mapInArrow(mark(before), schema)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
