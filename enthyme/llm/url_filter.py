@@ -88,13 +88,12 @@ class ShiftAnd:
                     self.hit[code, w] |= bit
                 if c not in (START, END) and (loop == "**" or loop == "*" and c != "/"):
                     self.stay[code, w] |= bit
-        self.table = np.zeros(128, dtype=np.int64)
-        for c, code in self.codes.items():
-            self.table[ord(c)] = code
+        self.points = np.array([ord(c) for c in letters], dtype=np.uint32)  # ascending, as the codes are
 
     def classes(self, url: str) -> np.ndarray:
         points = np.frombuffer((START + url.replace(START, " ").replace(END, " ") + END).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        return np.where(points < 128, self.table[np.minimum(points, 127)], 0)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        return np.where(self.points[at] == points, at + 1, 0)
 
     def run(self, urls: list[str]) -> np.ndarray:
         """A boolean for each URL and glob."""
