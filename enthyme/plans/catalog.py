@@ -523,4 +523,4 @@ def witness_agreement(spark, d):
 
 
 
-from . import chains  # noqa: E402, F401  (registers its queries here)
+from . import chains, provenance  # noqa: E402, F401  (they register their queries here)
