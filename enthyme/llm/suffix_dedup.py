@@ -31,11 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, binaries, ceil_div, mixed, saved, sliced
+from .common import Rolling, binaries, ceil_div, discard, mixed, saved, sliced
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a shard with its marks: a processor's cache holds the ranks, and two of them and a place fit into one word, which is sorted as it is.
@@ -252,10 +251,11 @@ def anchored(words: np.ndarray, starts: np.ndarray, row: np.ndarray, length: int
 
 
 def shard_rows(length: int, gram: int, shard: int, packed_bits: int):
-    """(id, text_hash, start, n, anchor, shard) of the strings of each document: null anchor: they go; else they are to be looked up."""
-    names = ["id", "text_hash", "start", "n", "anchor", "shard"]
+    """(id, text_hash, start, n, anchor, leads) of the strings of each document: null anchor: they go; else they are to be looked up, and the first
+    of the shard's records of an anchor leads."""
+    names = ["id", "text_hash", "start", "n", "anchor", "leads"]
 
-    def of(rows: list[tuple[int | None, int, bytes]], number: int) -> pa.RecordBatch:
+    def of(rows: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[0] is not None and r[0])
         data = np.frombuffer(b"".join(x for _, _, t in rows for x in (t, b"\xff")), dtype=np.uint8)
         size = np.array([len(t) + 1 for _, _, t in rows])
@@ -274,12 +274,14 @@ def shard_rows(length: int, gram: int, shard: int, packed_bits: int):
         start, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         which = row[start]
         anchors = pa.concat_arrays([pa.nulls(len(p[0]), pa.int64()) if p[2] is None else pa.array(p[2].view(np.int64)) for p in parts])
+        leads = np.zeros(len(start), dtype=np.int32)
+        if len(parts) > 1:
+            leads[len(begins) + np.unique(parts[1][2], return_index=True)[1]] = 1
         id_column = pa.array(ids[which], pa.int64(), mask=np.full(len(which), rows[0][0] is None))
-        hashes = np.array([r[1] for r in rows], dtype=np.int64)[which]
-        return pa.RecordBatch.from_arrays([id_column, pa.array(hashes), pa.array(start - (ends - size + 1)[which]), pa.array(n.astype(np.int32)), anchors, pa.array(np.full(len(which), number))], names)
+        hashes = np.array([r[1] for r in rows], dtype=np.int32)[which]
+        return pa.RecordBatch.from_arrays([id_column, pa.array(hashes), pa.array(start - (ends - size + 1)[which]), pa.array(n.astype(np.int32)), anchors, pa.array(leads)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
         held: list[tuple[int | None, int, bytes]] = []
         size = 0
         for batch in sliced(batches, "text"):
@@ -287,16 +289,15 @@ def shard_rows(length: int, gram: int, shard: int, packed_bits: int):
                 if len(text) < length:
                     continue
                 if i is None:
-                    yield of([(i, h, text)], number)
+                    yield of([(i, h, text)])
                     continue
                 if held and size + len(text) + 1 > shard:
-                    yield of(held, number)
-                    number += 1
+                    yield of(held)
                     held, size = [], 0
                 held.append((i, h, text))
                 size += len(text) + 1
         if held:
-            yield of(held, number)
+            yield of(held)
 
     return run
 
@@ -375,7 +376,7 @@ def anchored_again(length: int, gram: int):
     return run
 
 
-RECORD = "id long, text_hash long, start long, n int"
+RECORD = "id long, text_hash int, start long, n int"
 
 
 def merged(records: DataFrame, length: int, gram: int, most: int, bucket_bytes: int) -> list[DataFrame]:
@@ -427,13 +428,17 @@ def without_repeats(
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and kept, the bytes that are left."""
     if not 8 <= gram <= length:
         raise ValueError("an anchor has eight bytes or more, and no more than a string")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    found = saved(docs.select("id", "text_hash", "text").mapInArrow(shard_rows(length, gram, shard, packed_bits), f"{RECORD}, anchor long, shard long"), "strings")
-    common = found.filter("anchor IS NOT NULL").groupBy("anchor").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).filter("a < b").select("anchor")
-    places = found.drop("shard").join(common, "anchor").groupBy("id", "text_hash").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("strings"))
-    records = docs.filter("id IS NOT NULL").join(places, ["id", "text_hash"]).select("id", "text_hash", "text", "strings")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.hash("text"))
+    found = saved(docs.select("id", "text_hash", "text").mapInArrow(shard_rows(length, gram, shard, packed_bits), f"{RECORD}, anchor long, leads int"), "strings")
+    gone = saved(found.filter("anchor IS NULL").select("id", "text_hash", "start", "n"), "gone")
+    common = found.filter("leads = 1").groupBy("anchor").agg(F.count("*").alias("shards")).filter("shards > 1").select("anchor")
+    places = saved(found.filter("anchor IS NOT NULL").drop("leads").join(common, "anchor"), "places")
+    discard(found)
+    lists = places.groupBy("id", "text_hash").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("strings"))
+    records = docs.filter("id IS NOT NULL").join(lists, ["id", "text_hash"]).select("id", "text_hash", "text", "strings")
     records = saved(records.mapInArrow(with_bytes(length), f"{RECORD}, anchor long, content binary"), "records")
-    tables = [found.filter("anchor IS NULL").select("id", "text_hash", "start", "n"), *merged(records, length, gram, most, bucket_bytes)]
+    discard(places)
+    tables = [gone, *merged(records, length, gram, most, bucket_bytes)]
     every = tables[0]
     for t in tables[1:]:
         every = every.unionByName(t)
