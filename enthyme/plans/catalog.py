@@ -443,9 +443,9 @@ def sign_product(spark, d):
 # ---------------------------------------------------------------- near matches, chains, steps
 @query()
 def near_quotations(spark, d):
-    """Benchmark passages and documents that hold a tenth of their runs of three words or more, by the likeness of the best stretch of the
-    whole text. Rows only: the ratio has no SQL."""
-    return similar.near_quotations(quotes.sharing_runs(table(spark, d, "benchmark"), table(spark, d, "documents")))
+    """Benchmark passages and the documents that hold them or something near them, by the likeness of the best stretch of the whole text. Rows
+    only: the ratio has no SQL."""
+    return similar.near_quotations(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
 CHAINS = """states AS (SELECT DISTINCT c_mktsegment AS map_id, 'n' || c_nationkey AS id, CASE WHEN c_nationkey < 3 THEN 'intervention' WHEN c_nationkey > 21 THEN 'outcome' END AS role FROM customer),

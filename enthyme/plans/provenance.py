@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import paging, places
+from ..operators import paging, places, splices
 from ..operators.lines import source_lines
 from .catalog import LINES, query, sql_fold, sql_list, sql_norm, sql_words
 from .tables import materialised, table
@@ -99,6 +99,16 @@ def imported_terms(spark, d) -> DataFrame:
     return places.absent_terms(pairs.join(table(spark, d, "benchmark"), "item_id"), table(spark, d, "documents"))
 
 
+@query()
+def spliced_claims(spark, d) -> DataFrame:
+    """For each document a claim that runs its first and its last sixty characters together. Rows only: the longest common stretches have no SQL."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    shape = F.col("shape")
+    claim = F.concat(F.left(shape, F.lit(60)), F.lit(" "), F.right(shape, F.lit(60)))
+    claims = docs.withColumn("shape", places.shaped(F.col("text"))).select(F.col("source_id").alias("claim_id"), "source_id", claim.alias("text"), F.lit(None).cast("string").alias("note"))
+    return splices.spliced(claims, docs)
+
+
 # ---------------------------------------------------------------- books of conversations
 BOOKS = f"""
 turns AS (SELECT conv_id, string_agg(CASE WHEN turn = 0 THEN '## Introduction' ELSE '## Turn ' || turn || ' ' || role END || chr(10) || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY turn, role, text) AS a,

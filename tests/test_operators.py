@@ -1,3 +1,6 @@
+import random
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from enthyme.functions import similar
@@ -25,8 +28,53 @@ def test_quotations_in_order_and_near(spark):
     assert [r[0] for r in found.select(quotes.parts_in_order(F.col("q"), F.col("s"))).collect()] == [True, False]
     ratio, at = similar.nearest("the price of everything is wrong", "they say that the prices of everything are wrong, always")
     assert ratio >= 0.75 and at > 0 and similar.nearest("zzzzz", "abc")[0] == 0
-    pairs = spark.createDataFrame([(1, 2, "the price of everything is wrong", "the prices of everything are wrong"), (1, 3, "the price of everything", "nothing of the sort")], ["quote_id", "source_id", "quote", "body"])
-    assert [(r.quote_id, r.source_id) for r in similar.near_quotations(pairs).collect()] == [(1, 2)]
+
+
+def edited(rng, text, kind, rate):
+    out = []
+    for k, c in enumerate(text):
+        hit = rng.random() < rate if kind != "even" else k % round(1 / rate) == 0
+        if hit and kind == "delete":
+            continue
+        out.append(rng.choice("abcdefghijklmnop") if hit and kind in ("change", "even") else c)
+        if hit and kind == "insert":
+            out.append(rng.choice("abcdefghijklmnop"))
+    return "".join(out)
+
+
+def test_recall_of_near_matches_by_edits_and_length():
+    """Of stretches that are alike by LEAST or more, how many are found: by kind and rate of edits, and length."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choices("aabcdeeefghiijklmnoopqrsttuvw", k=rng.randrange(2, 9))) for _ in range(n))
+    recall = {}
+    for words in (8, 20, 45):
+        for kind, rate in [("change", 0.05), ("change", 0.12), ("change", 0.2), ("even", 0.2), ("insert", 0.1), ("delete", 0.1), ("delete", 0.18)]:
+            hits = total = 0
+            for _ in range(40):
+                quote = say(words)
+                changed = edited(rng, quote, kind, rate)
+                before = say(rng.randrange(0, 200)) + " "
+                text = f"{before}{changed} {say(rng.randrange(0, 200))}"
+                there = max(SequenceMatcher(None, text[len(before) + d : len(before) + d + len(quote)], quote, autojunk=False).ratio() for d in (-4, -2, 0, 2, 4) if len(before) + d >= 0)
+                if there >= similar.LEAST:
+                    total += 1
+                    ratio, at = similar.nearest(quote, text)
+                    hits += ratio >= similar.LEAST
+            if total:
+                recall[words, kind, rate] = hits / total
+    assert len(recall) >= 18 and min(recall.values()) >= 0.9, recall
+
+
+def test_a_letter_in_every_third_word(spark):
+    quote = "the method by which a reader finds what somebody else has written down before them is never stated in any book"
+    words = quote.split()
+    text = "Before. " + " ".join(w[:-1] + "q" if k % 3 == 0 else w for k, w in enumerate(words)) + ". After it."
+    asked = spark.createDataFrame([(1, quote), (2, "zzz yyy xxx nothing of the sort"), (3, None), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text, 0), (2, quote.upper(), 0), (3, None, 0), (4, "", 0), (5, "other " * 900, 0)], "doc_id long, text string, at int")
+    for block in (500_000, 20):
+        got = {(r.quote_id, r.source_id): r.ratio for r in similar.near_quotations(asked, docs, block_chars=block).collect()}
+        assert set(got) == {(1, 1), (1, 2)} and got[1, 2] == 1 and got[1, 1] > 0.9
+    assert similar.near_quotations(asked, docs.limit(0)).collect() == [] and similar.near_quotations(asked.limit(0), docs).collect() == []
 
 
 TEXT = "---\nfront: 1\n---\n# One\nprose\n<!-- p. 7 begins here -->\n## Sub\nmore prose here\n<!-- a\nb -->\n# Two\nend"
