@@ -40,7 +40,7 @@ LENGTH, GRAM = 100, 32
 #: Bytes of a shard with its marks: a processor's cache holds the ranks, and two of them and a place fit into one word, which is sorted as it is.
 SHARD = (1 << 19) - 1
 #: Records of an anchor, or bytes of many anchors, that are merged together.
-MOST, BUCKET_BYTES = 20_000, 4_000_000
+MOST, BUCKET_BYTES = 20_000, 1_000_000
 #: The end of a document. UTF-8 has no such byte.
 END = 0xFF
 
@@ -324,25 +324,31 @@ def with_bytes(length: int):
 def merge(length: int):
     """The records of some anchors: (id, text_hash, start, n, content) of the strings that go, and with content those of a hot anchor that stay."""
     names = ["id", "text_hash", "start", "n", "content"]
+    rolling = Rolling()
 
     def run(records: pa.Table) -> pa.Table:
         ids, starts, n = (records.column(c).to_numpy() for c in ("id", "start", "n"))
         by = np.lexsort((starts, ids))
         ids, starts, n = ids[by], starts[by], n[by].astype(np.int64)
         anchors, hot = records.column("anchor").to_numpy()[by].view(np.uint64), records.column("hot").to_numpy()[by]
-        content = records.column("content").combine_chunks().take(pa.array(by))
+        content = records.column("content").combine_chunks().take(pa.array(by)).to_pylist()
+        # a record with the bytes of an earlier one goes as a whole; only the others are looked through
+        seen: dict[bytes, int] = {}
+        whole = np.array([ids[seen.setdefault(c, k)] < ids[k] for k, c in enumerate(content)], dtype=bool)
+        out = [(by[whole], starts[whole], n[whole], pa.nulls(int(whole.sum()), pa.binary()))]
+        content = [c for c, w in zip(content, whole.tolist(), strict=True) if not w]
+        by, ids, starts, n, anchors, hot = (x[~whole] for x in (by, ids, starts, n, anchors, hot))
         begins = np.concatenate([[0], np.cumsum(n + length - 1)])[:-1]
-        data = np.frombuffer(b"".join(content.to_pylist()), dtype=np.uint8)
+        data = np.frombuffer(b"".join(content), dtype=np.uint8)
         ends = np.cumsum(n)
         row = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(row)) - (ends - n)[row]
-        key = mixed(Rolling().runs(BYTE_HASHES[data], length)[begins[row] + within] ^ anchors[row])
+        key = mixed(rolling.runs(BYTE_HASHES[data], length)[begins[row] + within] ^ anchors[row])
         known = np.unique(key)  # the strings of all shards in one order
         found = np.searchsorted(known, key)
         owner = np.empty(len(known), dtype=np.int64)
         owner[found[::-1]] = row[::-1]  # the last to write is the first record: the smallest id
         gone = ids[owner[found]] < ids[row]
-        out = []
         for chosen, texts in ((gone, False), (~gone & hot[row], True)):
             at = np.flatnonzero(chosen)
             first, size = runs_of(at, row[at])
