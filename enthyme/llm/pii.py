@@ -260,8 +260,10 @@ def marked(rows: DataFrame, parts: Iterator[np.ndarray]) -> DataFrame:
             for batch in sliced(batches, "__text"):
                 out = []
                 for text, before in zip(batch.column("__text").to_pylist(), batch.column("terms").to_pylist(), strict=True):
-                    found = term_spans(text or "", base_spans(text or ""), hashes)
-                    out.append((before or []) + [x for s, e, _, _ in found for x in (s, e)])
+                    found = []
+                    if any(map(hashes.__getitem__, TERM.findall(text or ""))):  # most texts have none; only the others are read term by term
+                        found = [x for s, e, _, _ in term_spans(text, base_spans(text), hashes) for x in (s, e)]
+                    out.append((before or []) + found)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int32()))], schema.names)
 
         return run
