@@ -1,11 +1,11 @@
 """Near matches of a quotation, where it is not in a text word for word.
 
-Runs of four characters that both share vote for the place at which the quotation would begin; votes for places near each other are one
-candidate, if they are an eighth of the quotation's runs or more. Every text is read once against all quotations of a block, so no
-candidate is lost before the votes are counted. Candidates are scored by sequence comparison, those with the most
-votes first, down to half of the most.
+Runs of RUN characters that both share vote for the place at which the quotation would begin; votes for places near each other are one
+candidate, if they are VOTES of the quotation's runs or more. Every text is read once against all quotations of a block, so no
+candidate is lost before the votes are counted. A candidate whose longest common subsequence is too short for the ratio is out;
+the others are scored by sequence comparison, those with the most votes first, down to half of the most.
 
-What may be lost: a match whose edits leave less than an eighth of its runs, or spread them over places further apart than an eighth of
+What may be lost: a match with an edit in nearly every RUN characters, or whose edits spread its votes over places further apart than an eighth of
 its length. Tests measure the share of matches of LEAST or more that is found, by kind and rate of edits and by length.
 """
 
@@ -25,7 +25,7 @@ from .text import folded
 # Fixed value: the least ratio of a near match.
 LEAST = 0.75
 #: Characters in a run that votes, and the share of the runs that must vote for a place.
-RUN, VOTES = 4, 0.125
+RUN, VOTES = 6, 0.06
 #: Characters of quotations that are looked for together, about: their runs travel with the tasks.
 BLOCK_CHARS = 500_000
 
@@ -41,6 +41,19 @@ def runs(text: str) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a bit for each character of a."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
 class Quotations:
     """The runs of a block of quotations, sorted, with the quotation and the place of each."""
 
@@ -68,23 +81,27 @@ class Quotations:
         at = np.repeat(at, n)
         entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(at))
         q = self.which[entry]
-        enough = np.maximum(1, np.ceil(VOTES * self.size)).astype(np.int64)
+        enough = np.maximum(2, np.ceil(VOTES * self.size)).astype(np.int64)
         keep = (np.bincount(q, minlength=len(self.texts)) >= enough)[q]
         q, place = q[keep], (at - self.place[entry])[keep]
         if not len(q):
             return []
-        cell = np.floor_divide(place, self.wide[q]) + 8  # a quotation may begin before the text
-        wide = int(cell.max()) + 2
-        cells, first, votes = np.unique(q * wide + cell, return_index=True, return_counts=True)
+        cell = np.floor_divide(place, self.wide[q]) + 9  # a quotation may begin before the text
+        many = int(cell.max()) + 2
+        key = q * many + cell
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        opens = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        votes = np.diff(np.append(opens, len(key)))
+        cells = key[opens]
         beside = np.zeros(len(cells), dtype=np.int64)
-        follows = cells[1:] == cells[:-1] + 1
-        beside[:-1][follows] = votes[1:][follows]
-        whose = cells // wide
+        follows = np.flatnonzero(cells[1:] == cells[:-1] + 1)
+        beside[follows] = votes[follows + 1]
+        whose = cells // many
         found: dict[int, list[tuple[int, int]]] = {}
         for k in np.flatnonzero(votes + beside >= enough[whose]).tolist():
             # the place that most of the cell votes for
-            mine = place[(q == whose[k]) & (cell == cells[k] % wide)]
-            values, counts = np.unique(mine, return_counts=True)
+            values, counts = np.unique(place[opens[k] : opens[k] + votes[k]], return_counts=True)
             found.setdefault(int(whose[k]), []).append((int(votes[k] + beside[k]), max(0, int(values[counts.argmax()]))))
         return [(w, sorted(c, key=lambda x: (-x[0], x[1]))) for w, c in sorted(found.items())]
 
@@ -102,9 +119,10 @@ class Quotations:
             for votes, start in found:
                 if 2 * votes < found[0][0]:
                     break
-                matcher.set_seq1(text[start : start + len(quote)])
-                if matcher.real_quick_ratio() < max(best, LEAST) or matcher.quick_ratio() < max(best, LEAST):
+                there = text[start : start + len(quote)]
+                if 2 * common(quote, there) < max(best, LEAST) * (len(quote) + len(there)):  # what sequence comparison finds is a common subsequence
                     continue
+                matcher.set_seq1(there)
                 ratio = matcher.ratio()
                 if ratio > best or ratio == best and start < place:
                     best, place = ratio, start
