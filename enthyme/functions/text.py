@@ -102,7 +102,18 @@ def pinned_pages(pinpoint: Column) -> Column:
 
 
 # Words that announce a cause.
-CAUSAL = r"\b(because|causes?|caused|causing|leads? to|led to|results? in|resulted in|therefore|hence|thus|due to|effects? of|consequently|produces?|produced|prevents?|prevented)\b"
+CAUSAL = (
+    r"\b(because|therefore|thereby|consequently|as a result|hence|"
+    r"results? in|resulted in|resulting in|leads? to|led to|leading to|"
+    r"causes?|caused|causing|due to|owing to|"
+    r"drives?|driven|driving|reduces?|reduced|reducing|increases?|increased|increasing|"
+    r"raises?|raised|raising|lowers?|lowered|lowering|prevents?|prevented|preventing|"
+    r"contributes? to|contributed to|contributing to|so that|in order to|"
+    r"enables?|enabled|enabling|encourages?|encouraged|encouraging|"
+    r"deters?|deterred|deterring|discourages?|discouraged|"
+    r"promotes?|promoted|promoting|undermines?|undermined|undermining|"
+    r"more likely|less likely|effects? of|impacts? on|in turn)\b"
+)
 
 
 def causal_mentions(text: Column) -> Column:

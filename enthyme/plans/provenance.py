@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import paging, places, splices
+from ..operators import coverage, paging, places, splices
 from ..operators.lines import source_lines
 from .catalog import LINES, query, sql_fold, sql_list, sql_norm, sql_words
 from .tables import materialised, table
@@ -261,3 +261,53 @@ FROM counts LEFT JOIN moded USING (source_id)
 """)
 def pinpoint_patterns(spark, d) -> DataFrame:
     return paging.pinpoint_patterns(paging.pinpoints(*_resolved(spark, d)))
+
+
+# ---------------------------------------------------------------- the talk of a text that its quotations cover
+#: The tables' invented prose has no causal words; these stand for them.
+SIGNAL = "(^| )(that|which|que|und|los)[ ,.]"
+
+TALK = f"""
+q AS (SELECT item_id, {sql_fold('text')} AS q FROM benchmark), d AS (SELECT doc_id, lower(trim({sql_norm('text')})) AS low, trim({sql_norm('text')}) AS body FROM documents),
+pieces AS (SELECT item_id, doc_id, q, string_split(low, q) AS p FROM q JOIN d ON contains(low, q) WHERE length(q) >= 10),
+nths AS (SELECT item_id, doc_id, q, p, unnest(range(1, len(p))) AS nth FROM pieces),
+at_q AS (SELECT item_id, doc_id, q, (1 + (nth - 1) * length(q) + list_sum([length(x) FOR x IN p[1:nth]]))::BIGINT AS a FROM nths),
+quoted AS (SELECT doc_id, item_id % 2 = 0 AS of_step, a, a + length(q) - length(ltrim(q, ' ."')) AS q0, a + length(rtrim(q, ' ."')) AS q1 FROM at_q),
+classed AS (SELECT *, CASE WHEN trim(raw, ' ') = '' THEN 'blank' WHEN regexp_matches(trim(raw, ' '), '^(#|\\[\\^|===|\\|)') THEN 'out' ELSE 'text' END AS kind FROM runs),
+stepped AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY line) = 'text', false) AS goes_on FROM classed),
+numbered AS (SELECT *, sum(CASE WHEN kind = 'text' AND NOT goes_on THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS par FROM stepped),
+pars AS (SELECT doc_id, par, min(line) AS line, min(a) AS a, max(a + length(t)) AS z FROM (SELECT *, min(line) OVER (PARTITION BY doc_id, par) AS first FROM numbered WHERE kind = 'text') WHERE t <> '' GROUP BY 1, 2),
+following AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS next_line FROM pars),
+cut_up AS (SELECT doc_id, line, next_line, a, string_split(regexp_replace(substr(body, a, z - a), '([.!?]["'')]?) +([A-Z"(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM following JOIN d USING (doc_id)),
+each AS (SELECT doc_id, line, next_line, a, parts, unnest(range(1, len(parts) + 1)) AS k FROM cut_up),
+sents AS (SELECT doc_id, line, next_line, parts[k] AS s, (a + coalesce(list_sum([length(x) + 1 FOR x IN parts[1:k - 1]]), 0))::BIGINT AS b FROM each),
+talk AS (SELECT *, b + length(s) - length(ltrim(s, ' ."')) AS s0, b + length(rtrim(s, ' ."')) AS s1 FROM sents WHERE len(string_split_regex(trim(s, ' '), ' +')) >= 5 AND regexp_matches(lower(s), '{SIGNAL}')),
+hits AS (SELECT t.doc_id, t.b, bool_or(of_step) AS covered FROM talk t JOIN quoted q ON q.doc_id = t.doc_id AND (s0 <= q0 AND q1 <= s1 OR q0 <= s0 AND s1 <= q1 AND s1 - s0 > 20
+  OR q1 - q0 >= 30 AND (s0 <= q0 AND q1 >= s1 AND s1 - q0 >= greatest(30, (s1 - s0) // 2) OR q0 <= s0 AND q1 <= s1 AND q1 - s0 >= greatest(30, (s1 - s0) // 2))) GROUP BY 1, 2),
+placed AS (SELECT q.doc_id, min(o.line) AS line FROM quoted q JOIN offsets o ON o.doc_id = q.doc_id AND o.t <> '' AND o.a <= q.a AND q.a < o.z WHERE of_step GROUP BY q.doc_id, q.a),
+statuses AS (SELECT t.doc_id AS source_id, t.line::INT AS line, t.b::INT AS "begin", s AS sentence, CASE WHEN covered THEN 'covered' WHEN NOT covered THEN 'argued' WHEN EXISTS (SELECT 1 FROM placed p WHERE p.doc_id = t.doc_id AND p.line >= t.line AND (t.next_line IS NULL OR p.line < t.next_line)) THEN 'near' ELSE 'open' END AS status
+  FROM talk t LEFT JOIN hits h ON h.doc_id = t.doc_id AND h.b = t.b)
+"""
+
+
+def _talk(spark, d) -> DataFrame:
+    """Passages of even numbers are steps of a chain, the others are quoted by arguments."""
+    docs = table(spark, d, "documents")
+    found = materialised(places.occurrences(table(spark, d, "benchmark"), docs))
+    span = F.col("spans")[0]
+    words = F.substring(F.col("body"), span["begin"], span["end"] - span["begin"])
+    quoted = found.select("source_id", "quote_id", "nth", span["begin"].alias("begin"), span["end"].alias("end"), words.alias("words"), (F.col("quote_id") % 2 == 0).alias("of_step"))
+    lines = source_lines(docs)
+    placed = places.lines_held(found, lines).filter(F.col("quote_id") % 2 == 0).select("source_id", F.col("first_line").alias("line"))
+    return coverage.causal_coverage(docs.select(F.col("doc_id").alias("source_id"), "text"), lines, quoted, placed, SIGNAL)
+
+
+@query(f"WITH {OFFSETS}, {TALK} SELECT * FROM statuses")
+def covered_sentences(spark, d) -> DataFrame:
+    return _talk(spark, d)
+
+
+@query(f"""WITH {OFFSETS}, {TALK} SELECT source_id, count(*) AS sentences, count(*) FILTER (status = 'covered') AS covered, count(*) FILTER (status = 'argued') AS argued, count(*) FILTER (status = 'near') AS near,
+  count(*) FILTER (status IN ('near', 'open')) AS uncovered FROM statuses GROUP BY 1""")
+def coverage_by_text(spark, d) -> DataFrame:
+    return coverage.coverage_census(_talk(spark, d))
