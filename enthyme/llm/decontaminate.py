@@ -103,11 +103,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = windows.selectExpr("id", "n", "k", "start", "slice(hashes, start + 1, n) AS hashes").filter("size(hashes) > 0")
     windows = windows.selectExpr("id", "n", "k", "start", f"{by_length(sizes)} AS runs", f"{SIMHASH} AS print")
     windows = windows.selectExpr("id", "n", "start", f"{numbered('runs')} AS runs", "print")
-    targets = items.selectExpr("item_id", "n", f"{numbered('runs')} AS item_runs", "print AS item_print", f"explode({probes('print')}) AS p")
-    targets = targets.select("item_id", "n", "item_runs", "item_print", "p.*")
+    targets = saved(items.selectExpr("item_id", "n", "print AS item_print", f"explode({probes('print')}) AS p").select("item_id", "n", "item_print", "p.*").distinct(), "targets")
+    sets = items.selectExpr("item_id AS set_id", "n AS set_n", "print AS set_print", f"{numbered('runs')} AS item_runs")
     looked_up = windows.selectExpr("*", f"explode(array({block_values('print')})) AS p").select("id", "n", "start", "runs", "print", "p.*")
-    pairs = looked_up.join(small(targets) if index_rows * 20 <= BROADCAST_SHINGLES else targets, ["block", "value", "n"])
-    pairs = pairs.filter(F.expr(f"bit_count(print ^ item_print) <= {RADIUS}")).dropDuplicates(["id", "start", "n", "item_id", "print"])
+    pairs = looked_up.join(sized(targets), ["block", "value", "n"])
+    pairs = pairs.filter(F.expr(f"bit_count(print ^ item_print) <= {RADIUS}")).dropDuplicates(["id", "start", "n", "item_id", "print", "item_print"])
+    pairs = pairs.join(small(sets), F.expr("item_id <=> set_id AND n = set_n AND item_print = set_print"))
     scored = pairs.selectExpr("id", "item_id", "start", "n", "size(array_intersect(runs, item_runs)) AS both", "size(array_union(runs, item_runs)) AS either")
     found = scored.filter("5 * both >= 4 * either").withColumn("similarity", F.col("both") / F.col("either"))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n")).alias("b")
