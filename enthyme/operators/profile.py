@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialised
 from . import graph, mechanism
 
 # What the text offers for a step, and the tier it gives; nearest to evidence first.
@@ -224,11 +225,29 @@ def stock_loops(loops: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def shortest_loops(steps: DataFrame, k: int = 3) -> DataFrame:
-    """(system, loop, place): the k shortest loops of each feedback system, ties by their states."""
-    found = graph.loops(steps).select("loop").distinct()
-    named = found.join(graph.systems(steps), F.col("loop")[0] == F.col("node")).select("system", "loop")
+    """(system, loop, place): the k shortest of the loops that are a shortest one through some state of a feedback system, ties by their states; each
+    begins at its first state. Breadth first from all states at once: a state keeps the first of the shortest paths to it, so the work is
+    bounded by states times steps, however many loops there are."""
+    links = steps.select("src", "dst").distinct()
+    named = materialised(graph.systems(links))
+    ends = links.join(named.withColumnRenamed("node", "src"), "src").join(named.select(F.col("node").alias("dst"), F.col("system").alias("other")), "dst")
+    inner = materialised(ends.filter("system = other").select("src", "dst"))
+    paths = named.select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"))
+    seen, found = paths.select("start", "at"), None
+    while not paths.isEmpty():
+        grown = materialised(paths.join(inner, F.col("at") == F.col("src")).select("start", "dst", "path"))
+        closed = grown.filter("dst = start").groupBy("start").agg(F.min("path").alias("path"))
+        found = closed if found is None else found.unionByName(closed)
+        on = grown.filter("dst <> start").join(closed.select("start"), "start", "left_anti").select("start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        paths = materialised(on.join(seen, ["start", "at"], "left_anti").groupBy("start", "at").agg(F.min("path").alias("path")))
+        seen = materialised(seen.unionByName(paths.select("start", "at")))
+    if found is None:
+        return named.select("system", F.array("node").alias("loop"), F.lit(0).alias("place")).filter("false")
+    first = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice(F.col("path"), first, F.size("path")), F.slice(F.col("path"), F.lit(1), first - 1))
+    loops = found.select(turned.alias("loop")).distinct().join(named, F.col("loop")[0] == F.col("node")).select("system", "loop")
     place = F.row_number().over(Window.partitionBy("system").orderBy(F.size("loop"), "loop"))
-    return named.withColumn("place", place).filter(F.col("place") <= k)
+    return loops.withColumn("place", place).filter(F.col("place") <= k)
 
 
 def chain_profiles(chains: DataFrame, states: DataFrame, steps: DataFrame) -> DataFrame:

@@ -258,9 +258,13 @@ def stock_loops(spark, d):
     return profile.stock_loops(graph.loops(steps), _natured(steps)).select(F.array_join("loop", ">").alias("loop"))
 
 
-@query(f"""{LOOPS}, reach AS (SELECT src, dst FROM steps UNION SELECT q.src, steps.dst FROM reach q JOIN steps ON steps.src = q.dst),
+@query(f"""WITH RECURSIVE {TRANSITIONS}, f AS (SELECT DISTINCT src AS start, src AS place, [src] AS path, false AS closed FROM steps UNION ALL
+ SELECT start, dst, CASE WHEN dst = start THEN path ELSE list_append(path, dst) END, dst = start FROM f JOIN steps ON src = place WHERE NOT closed AND (dst = start OR NOT list_contains(path, dst))),
+shortest AS (SELECT start, arg_min(path, (len(path), path)) AS path FROM f WHERE closed GROUP BY 1),
+turned AS (SELECT DISTINCT list_concat(path[list_position(path, list_min(path)):], path[:list_position(path, list_min(path)) - 1]) AS loop FROM shortest),
+reach AS (SELECT src, dst FROM steps UNION SELECT q.src, steps.dst FROM reach q JOIN steps ON steps.src = q.dst),
 sys AS (SELECT a.src AS node, min(a.dst) AS system FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
-SELECT system, array_to_string(path, '>') AS loop, k AS place FROM (SELECT system, path, (row_number() OVER (PARTITION BY system ORDER BY len(path), path))::INT AS k FROM r JOIN sys ON node = start WHERE closed) WHERE k <= 3""")
+SELECT system, array_to_string(loop, '>') AS loop, k AS place FROM (SELECT system, loop, (row_number() OVER (PARTITION BY system ORDER BY len(loop), loop))::INT AS k FROM turned JOIN sys ON node = loop[1]) WHERE k <= 3""")
 def shortest_loops(spark, d):
     return profile.shortest_loops(_transitions(spark, d)).withColumn("loop", F.array_join("loop", ">"))
 

@@ -92,3 +92,41 @@ def test_chain_profiles(steps, spark):
     states = spark.createDataFrame([("m", "a", "intervention"), ("m", "b", None), ("m", "c", "outcome"), ("m", "x", None), ("m", "y", None)], "map_id string, id string, role string")
     assert values(profile.chain_profiles(chains, states, s)) == [("m", "one", 2, 3, 1, 0), ("m", "two", 1, 2, 1, 1)]
     assert mechanism.reached(s, spark.createDataFrame([("m", "a")], "map_id string, node string")).count() == 3
+
+
+def test_shortest_loops_are_found_without_listing_all(spark):
+    """A graph with more loops than could be listed, and systems with loops of several lengths."""
+    import random
+
+    dense = [(f"d{i:02}", f"d{j:02}") for i in range(16) for j in range(16) if i != j]
+    rng = random.Random(2)
+    sparse = sorted({(f"s{rng.randrange(14):02}", f"s{rng.randrange(14):02}") for _ in range(24)})
+    sparse = [e for e in sparse if e[0] != e[1]]
+    ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("r0", "out")]
+    steps = spark.createDataFrame([(a, b, "+") for a, b in dense + sparse + ring], "src string, dst string, sign string")
+    got = {}
+    for r in profile.shortest_loops(steps, 3).collect():
+        got.setdefault(r.system, []).append((r.place, tuple(r.loop)))
+
+    def shortest(edges, v):
+        """The first of the shortest loops through v, by trying all paths."""
+        level = [(v,)]
+        while level:
+            if closed := sorted(p for p in level if (p[-1], v) in edges):
+                return closed[0]
+            level = [(*p, b) for p in level for a, b in edges if a == p[-1] and b not in p]
+        return None
+
+    edges = set(sparse)
+    loops = {min((p[i:] + p[:i]) for i in range(len(p))) for v in {a for e in edges for a in e} if (p := shortest(edges, v))}
+    reach = {v: {v} for e in edges for v in e}
+    for _ in reach:
+        for a, b in edges:
+            reach[a] |= reach[b]
+    by_system = {}
+    for loop in sorted(loops, key=lambda x: (len(x), x)):
+        by_system.setdefault(min(u for u in reach if u in reach[loop[0]] and loop[0] in reach[u]), []).append(loop)
+    assert {s: [x for _, x in sorted(v)] for s, v in got.items() if s.startswith("s")} == {s: v[:3] for s, v in by_system.items()}
+    assert sorted(got["d00"]) == [(1, ("d00", "d01")), (2, ("d00", "d02")), (3, ("d00", "d03"))]
+    assert got["r0"] == [(1, ("r0", "r1", "r2", "r3", "r4"))] and "out" not in got
+    assert profile.shortest_loops(steps.limit(0)).collect() == []
