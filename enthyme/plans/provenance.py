@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import coverage, paging, places, splices
+from ..operators import coverage, paging, places, provenance_checks, splices
 from ..operators.lines import source_lines
 from .catalog import LINES, query, sql_fold, sql_list, sql_norm, sql_words
 from .tables import materialised, table
@@ -311,3 +311,35 @@ def covered_sentences(spark, d) -> DataFrame:
   count(*) FILTER (status IN ('near', 'open')) AS uncovered FROM statuses GROUP BY 1""")
 def coverage_by_text(spark, d) -> DataFrame:
     return coverage.coverage_census(_talk(spark, d))
+
+
+CHECKS = f"""
+book_classed AS (SELECT l.source_id, l.line, o.t, o.a, l.head, trim(l.raw, ' ') = '' AS blank, coalesce(lag(l.head) OVER (PARTITION BY l.source_id ORDER BY l.line), false) AS after_head FROM lined l JOIN book_offsets o USING (source_id, line)),
+book_blocked AS (SELECT *, sum((head OR blank OR after_head)::INT) OVER (PARTITION BY source_id ORDER BY line) AS block FROM book_classed),
+book_blocks AS (SELECT source_id, min(a)::BIGINT AS lo, max(a + length(t))::BIGINT AS hi FROM book_blocked WHERE t <> '' GROUP BY source_id, block),
+shaped_bodies AS (SELECT source_id, string_agg(t, ' ' ORDER BY line) AS body FROM book_folds WHERE t <> '' GROUP BY 1),
+quote_spans AS (SELECT s.claim_id, s.source_id, s.at::BIGINT AS i, (s.at + length(q.q))::BIGINT AS j FROM (SELECT claim_id, source_id, k, pos AS at FROM sought_at) s JOIN sought q USING (claim_id) WHERE s.k = 0),
+around AS (SELECT q.*, b.lo, greatest(b.hi, j) AS hi, body FROM quote_spans q JOIN book_blocks b ON b.source_id = q.source_id AND b.lo <= i AND i < b.hi JOIN shaped_bodies s ON s.source_id = q.source_id),
+bounds AS (SELECT *, lo + length(regexp_extract(substr(body, lo, i - lo), '^(.*{SQL_END})(?: |$)', 1)) AS s0, length(regexp_extract(substr(body, j - 1, hi - j + 1), '^(.*?{SQL_END})(?: |$)', 1)) AS c FROM around),
+cut_off AS (SELECT claim_id, source_id, lower(regexp_extract(substr(body, s0, i - s0), '([A-Za-z'']+)[^A-Za-z'']*$', 1)) AS last, regexp_replace(ltrim(substr(body, j, CASE WHEN c > 0 THEN j - 1 + c ELSE hi END - j)), '^[,;:-]+ *', '') AS r FROM bounds),
+wrongs AS (SELECT source_id, count(*) AS n, min(d) AS low, max(d) AS high FROM verdicts WHERE verdict = 'off' GROUP BY 1),
+announced AS (SELECT source_id, string_agg(left(heading, 40) || ' (' || words || ' words)', '; ' ORDER BY line) AS m FROM kept WHERE heading = 'Introduction' GROUP BY 1),
+openings AS (SELECT source_id, mapped, coalesce((SELECT sum(l.words) FROM lined l WHERE l.source_id = x.source_id AND l.line < start), 0) AS words, (SELECT count(*) FROM marks m WHERE m.source_id = x.source_id AND mark_line < start) AS above FROM density x)
+"""
+
+
+@query(f"""WITH {BOOKS}, {PAGES}, {RESOLVED}, {EXPOSED}, {CHECKED}, {CHECKS}
+SELECT source_id, 'quotation' AS "check", '!' AS severity, claim_id AS title, clause AS message FROM claims JOIN resolved USING (claim_id, source_id) WHERE k = 0 AND via <> 'quotation' AND length({sql_fold('clause')}) >= 4
+UNION ALL SELECT source_id, 'quotation-context', '?', claim_id, 'drops ' || last FROM cut_off WHERE last IN ({sql_list(places.LEADING_HEDGES)})
+UNION ALL SELECT source_id, 'quotation-context', '?', claim_id, 'stops before ' || r FROM cut_off WHERE lower(regexp_extract(r, '^([A-Za-z'']+)', 1)) IN ({sql_list(places.CORRECTIVE)}) OR list_bool_or([starts_with(lower(r), x) FOR x IN [{sql_list(places.CORRECTIVE_PHRASES)}]])
+UNION ALL SELECT source_id, 'pinpoint', '?', claim_id, 'cites ' || pinpoint || ', off by ' || coalesce(d::VARCHAR, '?') || ', line ' || line FROM verdicts WHERE verdict = 'off'
+UNION ALL SELECT source_id, 'pinpoint', '?', NULL, n || ' off by ' || low || ' to ' || high FROM wrongs WHERE n >= 3
+UNION ALL SELECT source_id, 'pinpoint-pages', '?', NULL, 'no pinpoint cites a page that the text carries' FROM verdicts GROUP BY 1 HAVING bool_and(verdict = 'unpaged')
+UNION ALL SELECT source_id, 'exposition-gap', '?', NULL, m FROM announced
+UNION ALL SELECT source_id, 'exposition-opening', '?', NULL, words || ' words before the first section' FROM openings WHERE words >= 100 AND above <= 1 AND mapped > 0
+UNION ALL SELECT source_id, 'provenance-coverage', '?', NULL, count(*) || ' claims without a place' FROM resolved WHERE line IS NULL GROUP BY 1
+""")
+def provenance_findings(spark, d) -> DataFrame:
+    """All checks of the claims on the books of conversations. None of these claims is a splice, which SQL could not tell."""
+    books = materialised(_books(spark, d))
+    return provenance_checks.provenance_findings(_claims(spark, d), books, materialised(_book_lines(books)))
