@@ -448,17 +448,19 @@ def near_quotations(spark, d):
     return similar.near_quotations(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
-CHAINS = """states AS (SELECT DISTINCT c_mktsegment AS map_id, 'n' || c_nationkey AS id, CASE WHEN c_nationkey < 3 THEN 'intervention' WHEN c_nationkey > 21 THEN 'outcome' END AS role FROM customer),
-links AS (SELECT DISTINCT c_mktsegment AS map_id, 'n' || c_nationkey AS src, 'n' || (c_nationkey * 7 + 3) % 25 AS dst FROM customer WHERE c_nationkey <> (c_nationkey * 7 + 3) % 25 AND c_acctbal > 9000)"""
+#: A map for every fifteen customers: a step from each one's nation to another nation.
+CHAINS = """pairs AS (SELECT 'm' || (c_custkey // 15) AS map_id, c_nationkey AS a, (c_nationkey * 7 + 3) % 25 AS b FROM customer),
+states AS (SELECT map_id, 'n' || k AS id, CASE WHEN k < 3 THEN 'intervention' WHEN k > 21 THEN 'outcome' END AS role FROM (SELECT map_id, a AS k FROM pairs UNION SELECT map_id, b FROM pairs)),
+links AS (SELECT DISTINCT map_id, 'n' || a AS src, 'n' || b AS dst FROM pairs WHERE a <> b)"""
 
 
 def _chains(spark, d) -> tuple[DataFrame, DataFrame]:
-    c, n = table(spark, d, "customer"), F.col("c_nationkey")
-    role = F.when(n < 3, "intervention").when(n > 21, "outcome")
-    states = c.select(F.col("c_mktsegment").alias("map_id"), F.concat(F.lit("n"), n).alias("id"), role.alias("role")).distinct()
-    to = (n * 7 + 3) % 25
+    map_id = F.concat(F.lit("m"), F.floor(F.col("c_custkey") / 15).cast("string"))
+    pairs = table(spark, d, "customer").select(map_id.alias("map_id"), F.col("c_nationkey").alias("a"), ((F.col("c_nationkey") * 7 + 3) % 25).alias("b")).distinct()
+    ends = pairs.select("map_id", F.col("a").alias("k")).union(pairs.select("map_id", "b")).distinct()
+    states = ends.select("map_id", F.concat(F.lit("n"), "k").alias("id"), F.when(F.col("k") < 3, "intervention").when(F.col("k") > 21, "outcome").alias("role"))
     empty = F.array().cast("array<string>")
-    steps = c.filter((n != to) & (F.col("c_acctbal") > 9000)).select(F.col("c_mktsegment").alias("map_id"), F.concat(F.lit("n"), n).alias("src"), F.concat(F.lit("n"), to).alias("dst")).distinct()
+    steps = pairs.filter("a <> b").select("map_id", F.concat(F.lit("n"), "a").alias("src"), F.concat(F.lit("n"), "b").alias("dst"))
     return states, steps.select("*", F.lit("+").alias("sign"), F.lit("").alias("regime"), empty.alias("jointly"), empty.alias("unless"))
 
 
