@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, positions, profile, rules
+from ..operators import bridges, graph, positions, profile, rules
 from .catalog import TRANSITIONS, _transitions, query
 from .tables import table
 
@@ -491,3 +491,86 @@ def map_fingerprints(spark, d):
     steps = _steps(spark, d)
     edges = _relations(steps).select("map_id", F.col("a").alias("src"), F.col("b").alias("dst"), "kind")
     return positions.fingerprint(_nodes(spark, d).select("map_id", "node"), edges)
+
+
+# ---------------------------------------------------------------- bridges
+QUESTIONS = [(f"q{k}", asks) for k, asks in enumerate((*bridges.PROBES, None, "taste"))]
+
+
+def _bridged(steps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Eight bridges a map, each by the steps of five claims; claims are of the text or its rivals."""
+    n = F.substring("title", 2, 9).cast("int")
+    premises = steps.select("map_id", F.concat(F.lit("b"), (n % 8).cast("string")).alias("arg"), "title").distinct()
+    k = F.substring("id", 2, 9).cast("int")
+    states = _states(steps).select("map_id", "id", "role", F.when(k % 2 == 0, F.concat(F.lit("k"), (k % 4).cast("string"))).alias("kind"), F.when(k % 5 == 0, "possible").when(k % 5 == 1, "open").alias("status"))
+    return premises, steps.withColumn("threshold", F.col("size")).withColumn("measured_by", F.col("jointly")), states
+
+
+def _quoted(c: str) -> str:
+    return f"'“' || {c} || '”'"
+
+
+_FORMED = " ".join(f"WHEN \"on\" = '{on}' AND sign = '{sign}' THEN '{word}'" for on, words in bridges.FORMATION.items() for sign, word in zip("+-", words, strict=True))
+_VERB = f"""CASE WHEN nul THEN 'no effect' WHEN selects THEN 'selection effect' WHEN assoc THEN 'associated' WHEN "on" = 'character' AND coalesce(sign, '') <> '' THEN 'transforms' {_FORMED}
+ WHEN "on" = 'trend' AND sign IN ('+', '-') THEN CASE sign WHEN '+' THEN 'speeds' ELSE 'slows' END WHEN necessary AND sufficient THEN 'needed and enough for' WHEN necessary THEN 'needed for' WHEN sufficient THEN 'enough for'
+ {" ".join(f"WHEN coalesce(sign, '') = '{k}' THEN '{w}'" for k, w in bridges.VERBS.items())} ELSE sign END"""
+
+
+def _item(asks: str, said: str, rest: str) -> str:
+    return f"SELECT DISTINCT map_id, arg, '{asks}' AS asks, {said} AS said FROM {rest}"
+
+
+_NOT_OWN = "NOT EXISTS (SELECT 1 FROM premises p WHERE p.map_id = z.map_id AND p.arg = z.arg AND p.title = z.title)"
+_NO_FROM = lambda c: f"NOT EXISTS (SELECT 1 FROM froms f WHERE f.map_id = z.map_id AND f.arg = z.arg AND f.state = z.{c})"
+_NO_TO = "NOT EXISTS (SELECT 1 FROM tos t WHERE t.map_id = z.map_id AND t.arg = z.arg AND t.state = z.dst)"
+_SCOPED = "said || ': ' || CASE scope WHEN 'singular' THEN 'a single case' ELSE 'a general relation' END"
+_PROBES = [
+    *(_item(a, "said || ' unless ' || " + _quoted("blocker"), "premised WHERE blocker IS NOT NULL") for a in ("counter", "blockers")),
+    *(_item(a, "said || ', regime: ' || regime", "premised WHERE regime <> ''") for a in ("counter", "mediated", "scope")),
+    *(_item(a, "said || ' past a threshold: ' || size", "premised WHERE size <> ''") for a in ("counter", "mediated")),
+    _item("counter", "'a view the text reports: ' || said", f"arriving z WHERE layer = 'rival' AND {_NOT_OWN}"),
+    _item("counter", "said", f"arriving z WHERE layer = 'text' AND (sign = '-' AND rises OR sign = '+' AND falls) AND {_NOT_OWN} AND {_NO_FROM('src')}"),
+    _item("rivals", "said || CASE WHEN stance IS NOT NULL THEN ' (' || stance || ')' ELSE '' END", "voiced s JOIN (SELECT map_id, arg, state FROM froms UNION SELECT map_id, arg, state FROM tos) e USING (map_id) WHERE layer = 'rival' AND dst = state"),
+    _item("otherroutes", "said", f"arriving z WHERE layer = 'text' AND NOT nul AND NOT assoc AND NOT selects AND {_NOT_OWN} AND {_NO_FROM('src')}"),
+    _item("elsewhere", "said", "onward"),
+    _item("goals", "said", "onward WHERE outcome"),
+    _item("sideeffects", "said", "onward WHERE NOT outcome"),
+    _item("blockers", "said || ' unless ' || " + _quoted("blocker"), f"leaving z WHERE layer = 'text' AND blocker IS NOT NULL AND {_NOT_OWN}"),
+    _item("common", f"{_quoted('x.src')} || ' leads to both ' || {_quoted('o.src')} || ' and ' || {_quoted('o.dst')}", "(SELECT DISTINCT map_id, arg, src, dst FROM premised) o JOIN told x USING (map_id) JOIN told y USING (map_id) WHERE x.dst = o.src AND y.dst = o.dst AND x.src = y.src AND x.src <> o.src AND x.src <> o.dst"),
+    _item("reverse", "b.said || ' as well'", "(SELECT DISTINCT map_id, arg, src, dst FROM premised) o JOIN (SELECT map_id, src AS b_src, dst AS b_dst, min(said) AS said FROM voiced GROUP BY 1, 2, 3) b USING (map_id) WHERE b_src = o.dst AND b_dst = o.src"),
+    "SELECT map_id, arg, 'backing' AS asks, ['tested', 'argued for', 'asserted', 'imputed by the reconstructor'][k + 1] || ': ' || count(*) || CASE k WHEN 0 THEN ' (' || string_agg(DISTINCT basis, ', ' ORDER BY basis) || ')' ELSE '' END AS said FROM ranked GROUP BY map_id, arg, k",
+    _item("mediated", "said || ' through ' || " + _quoted("through"), "premised WHERE through IS NOT NULL"),
+    *(_item(a, "said || ': ' || period", "premised WHERE period <> ''") for a in ("mediated", "scope")),
+    *(_item(a, _SCOPED, "premised WHERE scope <> ''") for a in ("mediated", "scope")),
+    _item("measure", "said || ', read from ' || " + _quoted("also"), "premised WHERE also IS NOT NULL"),
+    _item("kinds", f"{_quoted('id')} || ' is of the kind ' || {_quoted('kind')}", "described WHERE kind IS NOT NULL"),
+    _item("possible", f"{_quoted('id')} || CASE status WHEN 'open' THEN ' cannot be specified in advance, the text says' ELSE ' is a possibility the text sets out' END", "described WHERE status IS NOT NULL"),
+    "SELECT map_id, arg, 'howmany', count(*) || ' steps' || CASE WHEN count(nullif(regime, '')) > 0 THEN ', in ' || count(DISTINCT nullif(regime, '')) || ' settings: ' || string_agg(DISTINCT nullif(regime, ''), '; ' ORDER BY nullif(regime, '')) ELSE '' END FROM premised GROUP BY 1, 2",
+    "SELECT map_id, arg, 'route', string_agg(DISTINCT said, '; ' ORDER BY said) FROM premised GROUP BY 1, 2",
+    _item("onecase", "said || ' is about a single case'", "premised WHERE scope = 'singular'"),
+    _item("support", "said || ' only together with ' || " + _quoted("also"), "premised WHERE also IS NOT NULL"),
+    *(_item(a, "said || ' given ' || condition", "premised WHERE condition <> ''") for a in ("support", "scope")),
+    "SELECT t.map_id, t.arg, 'stops', coalesce('the chain goes on to ' || string_agg(DISTINCT '“' || r.state || '”', ', ' ORDER BY '“' || r.state || '”') FILTER (NOT EXISTS (SELECT 1 FROM told x WHERE x.map_id = r.map_id AND x.src = r.state AND x.dst <> x.src)) || ', and stops there', 'the chain closes on itself: every state it reaches leads on') FROM tos t JOIN reached r USING (map_id, arg) GROUP BY 1, 2",
+]
+
+
+@query(f"""WITH RECURSIVE {S}, {STATES}, voiced AS (SELECT *, CASE WHEN v IN ('no effect', 'selection effect', 'associated') THEN {_quoted('src')} || ' → ' || {_quoted('dst')} || ': ' || v ELSE {_quoted('src')} || ' ' || v || ' ' || {_quoted('dst')} END AS said FROM (SELECT *, {_VERB} AS v FROM s)),
+premises AS (SELECT DISTINCT map_id, 'b' || (substring(title, 2)::INT % 8) AS arg, title FROM s), premised AS (SELECT * FROM voiced JOIN premises USING (map_id, title)),
+froms AS (SELECT DISTINCT map_id, arg, src AS state FROM premised), tos AS (SELECT map_id, arg, dst AS state, bool_or(sign = '+') AS rises, bool_or(sign = '-') AS falls FROM premised GROUP BY 1, 2, 3),
+told AS (SELECT DISTINCT map_id, src, dst FROM voiced WHERE layer = 'text' AND NOT nul AND NOT assoc AND NOT selects),
+arriving AS (SELECT s.*, t.arg, rises, falls FROM voiced s JOIN tos t ON t.map_id = s.map_id AND t.state = s.dst), leaving AS (SELECT s.*, f.arg FROM voiced s JOIN froms f ON f.map_id = s.map_id AND f.state = s.src),
+onward AS (SELECT z.*, coalesce(x.role = 'outcome', false) AS outcome FROM leaving z LEFT JOIN states x ON x.map_id = z.map_id AND x.id = z.dst WHERE layer = 'text' AND NOT nul AND NOT assoc AND NOT selects AND {_NOT_OWN} AND {_NO_TO}),
+ranked AS (SELECT *, CASE WHEN layer = 'appraisal' THEN 3 WHEN basis IN ('study', 'statistics', 'model') THEN 0 WHEN basis IN ('example', 'testimony') THEN 1 ELSE 2 END AS k FROM premised),
+described AS (SELECT e.map_id, e.arg, x.id, CASE WHEN substring(id, 2)::INT % 2 = 0 THEN 'k' || (substring(id, 2)::INT % 4) END AS kind, CASE substring(id, 2)::INT % 5 WHEN 0 THEN 'possible' WHEN 1 THEN 'open' END AS status
+  FROM (SELECT map_id, arg, state FROM froms UNION SELECT map_id, arg, state FROM tos) e JOIN states x ON x.map_id = e.map_id AND x.id = e.state),
+reached AS (SELECT map_id, arg, state FROM tos UNION SELECT r.map_id, r.arg, x.dst FROM reached r JOIN told x ON x.map_id = r.map_id AND x.src = r.state),
+items AS ({" UNION ".join(_PROBES)}),
+found AS (SELECT map_id, arg, asks, count(*) AS n, string_agg(said, ' | ' ORDER BY said) AS said FROM items GROUP BY 1, 2, 3),
+asked AS (SELECT * FROM (VALUES {", ".join(f"('{q}', {repr(a) if a else 'NULL'})" for q, a in QUESTIONS)}) AS q(question, asks)),
+known AS (SELECT *, coalesce(asks IN ({", ".join(repr(a) for a in bridges.PROBES)}), false) AS known FROM asked)
+SELECT b.map_id, b.arg, question, CASE WHEN known THEN k.asks END AS asks, CASE WHEN NOT known THEN 'reader' WHEN n > 0 THEN 'recorded' ELSE 'none' END AS status, coalesce(n, 0) AS n, coalesce(said, '') AS said
+FROM (SELECT DISTINCT map_id, arg FROM premises) b CROSS JOIN known k LEFT JOIN found f ON f.map_id = b.map_id AND f.arg = b.arg AND f.asks = k.asks""")
+def bridge_questions(spark, d):
+    questions = spark.createDataFrame(QUESTIONS, "question string, asks string")
+    premises, steps, states = _bridged(_steps(spark, d))
+    return bridges.bridge_questions(premises, questions, steps, states)
