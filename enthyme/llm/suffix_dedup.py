@@ -15,7 +15,7 @@ A string is LENGTH consecutive bytes of one document. A byte stays unless a stri
    gives the first document that has it.
 4. Hot anchors. A passage of very many documents is in one record for each shard, not for each document. Where
    an anchor still has over MOST records, they are dealt in parts by document, which drops repeats within a part; the rest is
-   anchored by longer runs and dealt again. The last runs are the strings themselves, of which each part leaves one.
+   anchored by longer runs and dealt again. The last runs are the strings themselves, whose first document is an ordinary aggregate.
 5. Removal. The runs that go are gathered by document.
 
 Strings are told apart by the 64-bit hashes of the string and of its anchor together.
@@ -403,6 +403,10 @@ def merged(records: DataFrame, length: int, gram: int, most: int, bucket_bytes:
             return out
         step = min(length, step + (length - gram + 1) // 2)
         records = saved(done.filter("content IS NOT NULL").mapInArrow(anchored_again(length, step), f"{RECORD}, anchor long, content binary"), "records")
+        if step == length:  # an anchor is the string itself: its first document is a minimum, gathered in parts
+            first = records.groupBy("anchor").agg(F.min("id").alias("first"))
+            out.append(records.join(first, "anchor").filter("id > first").select("id", "text_hash", "start", "n"))
+            return out
 
 
 def remove(length: int):
