@@ -12,7 +12,7 @@ title: Notes. Of a treatise
 
 ## Introduction
 
-Some drives conserve the organism, whereas some drives do the exact opposite of that. A second sentence — “quoted” here… and on.
+Some rivers freeze in the winter, whereas some rivers run the whole year round. A second sentence — “quoted” here… and on.
 
 ## Method
 We hold, perhaps, that the *method* is
@@ -38,7 +38,7 @@ def found_in(spark, texts, asked):
 
 
 def test_lines_of_quotations(spark):
-    asked = ["the method is sound and complete", 'a second sentence - "quoted" here...', "Some drives ... the exact opposite", "METHOD", "no such passage anywhere", "...", None]
+    asked = ["the method is sound and complete", 'a second sentence - "quoted" here...', "Some rivers ... the whole year", "METHOD", "no such passage anywhere", "...", None]
     found, lines = found_in(spark, [TREATISE, None, "", TREATISE.replace("\n", " ")], asked)
     got = {(r.quote_id, r.source_id, r.nth): (r.first_line, r.last_line) for r in places.lines_held(found, lines).collect()}
     assert {k: v for k, v in got.items() if k[1] == 0} == {(0, 0, 1): (11, 12), (1, 0, 1): (8, 8), (2, 0, 1): (8, 8), (2, 0, 2): (8, 8)}
@@ -58,10 +58,10 @@ def test_offsets_are_those_of_the_folded_text(spark):
 
 
 def test_what_a_quotation_was_cut_from(spark):
-    asked = ["drives conserve the organism", "the method is sound and complete", "the last paragraph says it plainly!", "drives conserve the organism ... it ends well", "We hold, perhaps"]
+    asked = ["rivers freeze in the winter", "the method is sound and complete", "the last paragraph says it plainly!", "rivers freeze in the winter ... it ends well", "We hold, perhaps"]
     got = {r.quote_id: r for r in places.quotation_context(*found_in(spark, [TREATISE], asked)).collect()}
-    assert got[0].dropped == "some" and got[0].continues.startswith("whereas some drives") and not got[0].complete and got[0].sentence_last is None
-    assert got[0].sentence.startswith("Some drives") and got[0].sentence.endswith("of that.") and got[0].after.startswith("A second")
+    assert got[0].dropped == "some" and got[0].continues.startswith("whereas some rivers") and not got[0].complete and got[0].sentence_last is None
+    assert got[0].sentence.startswith("Some rivers") and got[0].sentence.endswith("year round.") and got[0].after.startswith("A second")
     assert got[1].continues.startswith("or more exactly") and got[1].dropped is None and got[1].sentence.startswith("We hold")  # the heading is another block
     assert got[2].complete and got[2].continues is None and got[2].after == "It ends well."
     assert got[3].gap > 200 and got[3].sentence_last == "It ends well." and got[3].after == ""
