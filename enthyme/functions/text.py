@@ -23,6 +23,12 @@ STOP_WORDS = (
 ).split()
 
 
+def as_in_sql(pattern: str) -> str:
+    """A pattern read as SQL reads it: a word boundary parts ASCII letters, digits and _ from all else, and white space is without the vertical
+    tab. Java takes accented letters for letters at a boundary, or not, by its version. No escape for white space may stand in a class."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))").replace(r"\s", r"[ \t\n\f\r]")
+
+
 def normalise(text: Column) -> Column:
     """Folds what does not matter when a quotation is looked up: quotes, dashes, ellipses, emphasis, page markers, runs of
     white space."""
@@ -117,7 +123,7 @@ CAUSAL = (
 
 
 def causal_mentions(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(CAUSAL), 1))
+    return F.size(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(as_in_sql(CAUSAL)), 1))
 
 
 def word_count(text: Column) -> Column:

@@ -68,8 +68,9 @@ def occurrence(found: DataFrame) -> DataFrame:
 def table_labels(text: Column) -> Column:
     """The tables that a text names, in order of first mention."""
     from ..functions.cleaning import TABLE_LABEL
+    from ..functions.text import as_in_sql
 
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TABLE_LABEL), 1))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(as_in_sql(TABLE_LABEL)), 1))
 
 
 def depths(edges: DataFrame, apexes: DataFrame) -> DataFrame:
@@ -92,9 +93,9 @@ DENIAL = r"(?i)\b(?:not|no|never|cannot|n't|nor|neither|without)\b"
 
 def denies(a: Column, b: Column) -> Column:
     """Whether one of two titles is negated and the other is not, with a content word in common."""
-    from ..functions.text import content_words
+    from ..functions.text import as_in_sql, content_words
 
-    negated = lambda c: F.regexp_like(c, F.lit(DENIAL))
+    negated = lambda c: F.regexp_like(c, F.lit(as_in_sql(DENIAL)))
     return (negated(a) != negated(b)) & F.arrays_overlap(content_words(a), content_words(b))
 
 

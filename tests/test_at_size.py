@@ -3,9 +3,12 @@
 import random
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
+from enthyme.functions import cleaning, text
 from enthyme.operators import frames
+from enthyme.plans import catalog
 
 
 def test_differences_are_counted_without_listing_the_pairs(spark):
@@ -22,3 +25,15 @@ def test_differences_are_counted_without_listing_the_pairs(spark):
     # ten billion pairs and more, and no verdicts
     many = spark.range(300_000).select(F.col("id").alias("case_id"), F.explode(F.create_map(F.lit("x"), (F.col("id") % 2).cast("string"), F.lit("y"), F.lit("same"))).alias("frame", "value"))
     assert [tuple(r) for r in frames.difference_counts(many, ["x", "y"], "v").collect()] == [("x", 150_000**2, 0)]
+
+
+def test_word_boundaries_are_those_of_the_sql(spark):
+    said = ["yóc d f ggg", "él c d f g", "añd f g h í", "x\x0by z", "words b c d here", "cañcaused in turn éeffects of", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id int, text string").coalesce(1)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id INT, text VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 'en')", list(enumerate(said)))
+    got = df.select("doc_id", cleaning.quality(F.col("text")).alias("quality")).collect()
+    assert {tuple(r) for r in got} == set(con.execute(catalog.ORACLE_SQL["conversion_quality"]).fetchall())
+    mentions = con.execute(catalog.ORACLE_SQL["causal_signal"]).fetchall()[0][2]
+    assert df.agg(F.sum(text.causal_mentions(F.col("text")))).first()[0] == mentions == 3
