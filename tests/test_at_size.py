@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from enthyme.functions import cleaning, text
-from enthyme.operators import frames
+from enthyme.operators import frames, suppose
 from enthyme.plans import catalog
 
 
@@ -37,3 +37,30 @@ def test_word_boundaries_are_those_of_the_sql(spark):
     assert {tuple(r) for r in got} == set(con.execute(catalog.ORACLE_SQL["conversion_quality"]).fetchall())
     mentions = con.execute(catalog.ORACLE_SQL["causal_signal"]).fetchall()[0][2]
     assert df.agg(F.sum(text.causal_mentions(F.col("text")))).first()[0] == mentions == 3
+
+
+def test_suppositions_by_what_they_change(spark):
+    rng = random.Random(3)
+    args = [(f"a{k}", rng.randrange(14)) for k in range(20)] + [("free", 13)]
+    ins = [(f"a{k}", rng.randrange(14)) for k in range(20) for _ in range(rng.randrange(1, 3))]
+    ins += ins[:5] + [("a3", 99), ("none", 1)]
+    basic = set(range(14)) - {c for _, c in args}
+    said = {(f"s{k}", i, rng.random() < 0.4) for k in range(25) for i in rng.sample(range(14), 3) if i not in basic or k % 2}
+    said |= {(f"s{k}", i, False) for k in range(25) for i in sorted(basic)[:1 + k % 3]}
+    cuts = {(f"s{k}", f"a{rng.randrange(20)}") for k in range(0, 25, 3)}
+
+    def brute(said, cuts):
+        now = {i for i in basic if (i, False) not in said} | {i for i, h in said if h}
+        while True:
+            new = {c for a, c in args if a not in cuts and all(i in now for b, i in ins if b == a) and (c, False) not in said} - now
+            if not new:
+                return now
+            now |= new
+
+    frame = lambda rows, schema: spark.createDataFrame(sorted(rows), schema).coalesce(1)
+    tables = frame([(i,) for i in range(14)], "id int"), frame(args, "arg string, concludes int"), frame(ins, "arg string, input int")
+    sup, cut = frame(said, "scenario string, id int, holds boolean"), frame(cuts, "scenario string, arg string")
+    want = {(s, i) for s in {x[0] for x in said} for i in brute({(i, h) for t, i, h in said if t == s}, {a for t, a in cuts if t == s})}
+    assert {tuple(r) for r in suppose.holding(*tables, sup, sup.select("scenario"), cut).collect()} == want
+    failing = {(s, i) for s in {x[0] for x in said if not x[2]} for i in range(14)} - want - {(s, i) for s, i, h in said if not h}
+    assert {tuple(r) for r in suppose.not_holding(*tables, sup, cut).collect()} == failing and failing
