@@ -1,9 +1,10 @@
 """Claims that join two distant passages of their source without a mark.
 
-What a claim shares with its source is found by seeds and extended. Seeds are the runs of GRAM characters whose hash is the smallest among those of RUN
-characters: every stretch of RUN characters that both have holds one, at the same place in both, so no stretch is missed. Claims
-and sources meet by their seeds; a seed names a diagonal, on which the stretches of RUN characters or more are read off. In each claim the longest
-stretch holds first, then the longest before it and after it in both texts, and so on, in rounds of a window.
+A claim meets its own source only, and each pair is read by itself. What they share is found by seeds and extended. Seeds of a claim of up to FEW of them are its
+runs of GRAM characters at every RUN - GRAM + 1st place, looked up in the source; in longer ones, the runs whose hash is the smallest among those of RUN
+characters, in both. Either way every stretch of RUN characters that both have holds one, so no stretch is missed. A
+seed names a diagonal, on which the stretches of RUN characters or more are read off. In each claim the longest stretch holds first, then the longest
+before it and after it in both texts, and so on.
 
 Defined results: null texts share nothing; claims with an elision, a note or fewer than two RUN characters are left out; of equal stretches
 the one that comes first in the claim, then in the source, holds.
@@ -25,6 +26,8 @@ from .places import shaped
 #: A run that counts, the gap from which two are a splice, the share of a claim that must be its source's, characters shown of a run.
 RUN, GAP, SHARE, SHOWN = 40, 120, 0.6, 46
 GRAM = 16
+#: Seeds of a claim that are looked up one by one.
+FEW = 32
 
 
 def points(text: str) -> np.ndarray:
@@ -46,62 +49,73 @@ def seeds(text: str) -> tuple[np.ndarray, np.ndarray]:
     return h[at].view(np.int64), at
 
 
-def seeded(texts: DataFrame) -> DataFrame:
-    """(id, seed, at) of texts (id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                h, at = seeds(text or "")
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(h), i))), pa.array(h), pa.array(at.astype(np.int32))], ["id", "seed", "at"])
-
-    return texts.mapInArrow(run, f"id {texts.schema[0].dataType.simpleString()}, seed long, at int")
-
-
-def stretches(pairs: DataFrame) -> DataFrame:
-    """(claim_id, a, b, size) of pairs (claim_id, claim, body, diagonals): stretches of RUN characters or more on the diagonals, places from 0."""
+def diagonals(claim: str, body: str) -> np.ndarray:
+    """Places in the body less places in the claim of the seeds that both hold."""
+    step = RUN - GRAM + 1
+    if len(claim) <= FEW * step:
+        found = set()
+        for a in range(0, len(claim) - GRAM + 1, step):
+            gram, at = claim[a : a + GRAM], -1
+            while (at := body.find(gram, at + 1)) >= 0:
+                found.add(at - a)
+        return np.array(sorted(found), dtype=np.int64)
+    (mine, a), (theirs, b) = seeds(claim), seeds(body)
+    order = np.argsort(mine, kind="stable")
+    lo, hi = (np.searchsorted(mine[order], theirs, side) for side in ("left", "right"))
+    n = hi - lo
+    entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.unique(np.repeat(b, n) - a[order[entry]])
+
+
+def stretches(claim: str, body: str) -> np.ndarray:
+    """(a, b, size), a row for each stretch of RUN characters or more on the diagonals, places from 0."""
+    found, out = diagonals(claim, body), [np.empty((0, 3), dtype=np.int64)]
+    if len(found):
+        x, y = points(claim), points(body)
+        wide = len(x) + 2
+        many = max(1, (1 << 20) // wide)
+        for k in range(0, len(found), many):
+            d = found[k : k + many]
+            at = d[:, None] + np.arange(len(x))
+            same = np.zeros((len(d), wide), dtype=bool)
+            same[:, 1:-1] = (at >= 0) & (at < len(y)) & (y[np.clip(at, 0, len(y) - 1)] == x)
+            flat = same.ravel()
+            turns = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+            size = turns[1::2] - turns[::2]
+            row, a = np.divmod(turns[::2][size >= RUN], wide)
+            out.append(np.stack([a - 1, a - 1 + d[row], size[size >= RUN]], axis=1))
+    return np.concatenate(out)
+
+
+def in_order(found: np.ndarray) -> list[list[int]]:
+    """The stretches that hold, longest first: after each pick what is left lies before it in both texts, or after it in both, and is cut to that."""
+    kept, parts = [], [found]
+    while parts:
+        rest = parts.pop()
+        if not len(rest):
+            continue
+        a, b, size = rest.T
+        k = np.lexsort((b, a, -size))[0]
+        kept.append([int(v) for v in rest[k]])
+        before = np.minimum(size, np.minimum(a[k] - a, b[k] - b))
+        skip = np.maximum(0, np.maximum(a[k] + size[k] - a, b[k] + size[k] - b))
+        for part in (np.stack([a, b, before], axis=1), np.stack([a + skip, b + skip, size - skip], axis=1)):
+            parts.append(np.unique(part[part[:, 2] >= RUN], axis=0))
+    return kept
+
+
+def runs_held(pairs: DataFrame) -> DataFrame:
+    """(claim_id, a, b, size) of pairs (claim_id, claim, body): the stretches of each claim that hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, a, b, size = [], [], [], []
-            for i, (claim, body, diagonals) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("claim", "body", "diagonals")), strict=True)):
-                x, y = points(claim), points(body)
-                for d in diagonals:
-                    low, high = max(0, -d), min(len(x), len(y) - d)
-                    same = np.concatenate([[False], x[low:high] == y[low + d : high + d], [False]])
-                    begins, ends = (np.flatnonzero(z) for z in (~same[:-1] & same[1:], same[:-1] & ~same[1:]))
-                    for s, e in zip(begins.tolist(), ends.tolist(), strict=True):
-                        if e - s >= RUN:
-                            rows.append(i)
-                            a.append(low + s)
-                            b.append(low + s + d)
-                            size.append(e - s)
-            yield pa.RecordBatch.from_arrays([batch.column("claim_id").take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int32()) for c in (a, b, size))], ["claim_id", "a", "b", "size"])
+            rows = [(i, *x) for i, (claim, body) in enumerate(zip(batch.column("claim"), batch.column("body"), strict=True)) for x in in_order(stretches(claim.as_py(), body.as_py()))]
+            which, a, b, size = ([r[k] for r in rows] for k in range(4))
+            yield pa.RecordBatch.from_arrays([batch.column("claim_id").take(pa.array(which, pa.int64())), *(pa.array(c, pa.int32()) for c in (a, b, size))], ["claim_id", "a", "b", "size"])
 
     return pairs.mapInArrow(run, f"claim_id {pairs.schema['claim_id'].dataType.simpleString()}, a int, b int, size int")
 
 
-def in_order(found: DataFrame) -> DataFrame:
-    """The stretches that hold, longest first: after each pick what is left lies before it in both texts, or after it in both, and is cut to that."""
-    kept = None
-    rest = materialised(found.withColumn("part", F.lit("")))
-    while not rest.isEmpty():
-        best = Window.partitionBy("claim_id", "part").orderBy(F.desc("size"), "a", "b")
-        first = lambda c: F.first(c).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        ranked = rest.select("*", F.row_number().over(best).alias("place"), *(first(c).alias(f"x_{c}") for c in ("a", "b", "size")))
-        ranked = materialised(ranked)
-        picked = ranked.filter("place = 1").select("claim_id", "a", "b", "size")
-        kept = picked if kept is None else kept.unionByName(picked)
-        before = F.least(F.col("size"), F.col("x_a") - F.col("a"), F.col("x_b") - F.col("b"))
-        skip = F.greatest(F.lit(0), F.col("x_a") + F.col("x_size") - F.col("a"), F.col("x_b") + F.col("x_size") - F.col("b"))
-        others = ranked.filter("place > 1")
-        left = others.select("claim_id", "a", "b", before.alias("size"), F.concat("part", F.lit("<")).alias("part"))
-        right = others.select("claim_id", (F.col("a") + skip).alias("a"), (F.col("b") + skip).alias("b"), (F.col("size") - skip).alias("size"), F.concat("part", F.lit(">")).alias("part"))
-        rest = materialised(left.unionByName(right).filter(F.col("size") >= RUN).distinct())
-    return found if kept is None else kept
-
-
 def spliced(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """(claim_id, gap, left, right) of claims (claim_id, source_id, text, note) on sources (source_id, text): the first two runs of a claim that
     stand GAP characters or more apart in its source, where the runs make up SHARE of it."""
@@ -109,11 +123,8 @@ def spliced(claims: DataFrame, sources: DataFrame) -> DataFrame:
     marked = F.contains(said, F.lit("...")) | F.contains(said, F.lit("…")) | F.col("note").isNotNull()
     asked = claims.filter(~marked & (F.length(said) >= 2 * RUN)).select("claim_id", "source_id", F.lower(F.translate(normalise(said), "İ", "I")).alias("claim"))
     body = sources.select("source_id", F.lower(shaped(F.col("text"))).alias("body"))
-    mine = seeded(asked.select("claim_id", "claim")).withColumnsRenamed({"id": "claim_id", "at": "a"}).join(asked.select("claim_id", "source_id"), "claim_id")
-    theirs = seeded(body.join(asked.select("source_id").distinct(), "source_id", "left_semi")).withColumnsRenamed({"id": "source_id", "at": "b"})
-    shared = mine.join(theirs, ["source_id", "seed"]).groupBy("claim_id", "source_id").agg(F.collect_set(F.col("b") - F.col("a")).alias("diagonals"))
-    pairs = shared.join(asked, ["claim_id", "source_id"]).join(body, "source_id")
-    kept = materialised(in_order(stretches(pairs.select("claim_id", "claim", "body", "diagonals"))))
+    asked = materialised(asked)
+    kept = materialised(runs_held(asked.join(body, "source_id").select("claim_id", "claim", "body")))
     w = Window.partitionBy("claim_id").orderBy("a")
     joins = kept.withColumn("gap", F.lead("b").over(w) - F.col("b") - F.col("size")).withColumn("next_a", F.lead("a").over(w)).withColumn("next_size", F.lead("size").over(w))
     covered = kept.groupBy("claim_id").agg(F.sum("size").alias("covered"))

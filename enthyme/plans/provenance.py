@@ -104,8 +104,8 @@ def spliced_claims(spark, d) -> DataFrame:
     """For each document a claim that runs its first and its last sixty characters together. Rows only: the longest common stretches have no SQL."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text")
     shape = F.col("shape")
-    claim = F.concat(F.left(shape, F.lit(60)), F.lit(" "), F.right(shape, F.lit(60)))
-    claims = docs.withColumn("shape", places.shaped(F.col("text"))).select(F.col("source_id").alias("claim_id"), "source_id", claim.alias("text"), F.lit(None).cast("string").alias("note"))
+    shapes = materialised(docs.select("source_id", places.shaped(F.col("text")).alias("shape")).select("source_id", F.struct(F.left(shape, F.lit(60)).alias("head"), F.right(shape, F.lit(60)).alias("tail")).alias("ends")))
+    claims = shapes.select(F.col("source_id").alias("claim_id"), "source_id", F.concat("ends.head", F.lit(" "), "ends.tail").alias("text"), F.lit(None).cast("string").alias("note"))
     return splices.spliced(claims, docs)
 
 
