@@ -65,19 +65,29 @@ def closure_sizes(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reached, whatever the direction. Nodes adopt the smallest label next to them, then
-    the label of that label."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    both = materialised(both)
-    labels = materialised(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    while True:
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels["node"] == near["src"]).select("node", "component", F.least("component", "near").alias("next"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = materialised(step.join(jump, "next", "left").select("node", "component", F.least("next", "far").alias("to")))
-        if new.filter("component <> to").isEmpty():
-            return labels
-        labels = new.select("node", F.col("to").alias("component"))
+    """(node, component): the smallest node reached, whatever the direction. In each round every node goes into the one next to it, or itself, that comes first in
+    an order drawn anew, and the edges between what is left are made distinct; so a hub takes in its neighbours at once and a chain halves, about.
+    A node's edges are never brought together: an end is replaced first, and few edges are left when the other end meets its place."""
+    rest = materialised(edges.select("src", "dst"))
+    nodes, steps = materialised(rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()), []
+    rest = rest.filter("src <> dst")
+    for k in count():
+        order = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
+        sides = [rest.groupBy(F.col(x).alias("node")).agg(F.min(order(y)).alias("near")) for x, y in (("src", "dst"), ("dst", "src"))]
+        near = sides[0].unionByName(sides[1]).groupBy("node").agg(F.min("near").alias("near"))
+        into = materialised(near.select("node", F.least("near", order("node"))["node"].alias("into")))
+        ends = lambda c: into.select(F.col("node").alias(c), F.col("into").alias(f"{c}_into"))  # noqa: B023, E731
+        half = rest.join(ends("src"), "src").select(F.col("src_into").alias("src"), "dst").distinct()
+        rest = materialised(half.join(ends("dst"), "dst").select(F.least("src", "dst_into").alias("src"), F.greatest("src", "dst_into").alias("dst")).filter("src <> dst").distinct())
+        steps.append(into)
+        if rest.isEmpty():
+            break
+    roots = steps.pop()
+    for into in reversed(steps):  # where the nodes of a round went in the end; a node without edges then stays
+        after = roots.select(F.col("node").alias("into"), F.col("into").alias("root"))
+        roots = materialised(into.join(after, "into", "left").select("node", F.coalesce("root", "into").alias("into")))
+    placed = materialised(nodes.join(roots, "node", "left").select("node", F.coalesce("into", "node").alias("root")))
+    return placed.join(placed.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
 def systems(edges: DataFrame) -> DataFrame:

@@ -92,15 +92,16 @@ def in_order(found: np.ndarray) -> list[list[int]]:
     kept, parts = [], [found]
     while parts:
         rest = parts.pop()
-        if not len(rest):
+        if len(rest) < 2:
+            kept += rest.tolist()
             continue
         a, b, size = rest.T
         k = np.lexsort((b, a, -size))[0]
-        kept.append([int(v) for v in rest[k]])
+        kept.append(rest[k].tolist())
         before = np.minimum(size, np.minimum(a[k] - a, b[k] - b))
         skip = np.maximum(0, np.maximum(a[k] + size[k] - a, b[k] + size[k] - b))
         for part in (np.stack([a, b, before], axis=1), np.stack([a + skip, b + skip, size - skip], axis=1)):
-            parts.append(np.unique(part[part[:, 2] >= RUN], axis=0))
+            parts.append(part[part[:, 2] >= RUN])
     return kept
 
 
