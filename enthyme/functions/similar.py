@@ -26,6 +26,8 @@ from .text import folded
 LEAST = 0.75
 #: Characters in a run that votes, and the share of the runs that must vote for a place.
 RUN, VOTES = 6, 0.06
+#: Characters after which a comparison is given up if too many were passed over.
+CHECKED = 16
 #: Characters of quotations that are looked for together, about: their runs travel with the tasks.
 BLOCK_CHARS = 500_000
 
@@ -41,16 +43,26 @@ def runs(text: str) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def common(a: str, b: str) -> int:
-    """The length of the longest common subsequence, a bit for each character of a."""
+def places_of(a: str) -> dict[str, int]:
+    """The places of each character, a bit for each."""
     masks: dict[str, int] = {}
     for k, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << k
+    return masks
+
+
+def common(a: str, b: str, masks: dict[str, int] | None = None, need: float = 0) -> int:
+    """The length of the longest common subsequence, a bit for each character of a; -1 as soon as it is sure to be under the need."""
+    masks = places_of(a) if masks is None else masks
     full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & masks.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
+    row, spare = full, len(b) - need
+    for at in range(0, len(b), CHECKED):
+        part = b[at : at + CHECKED]
+        for c in part:
+            if hit := row & masks.get(c, 0):
+                row = ((row + hit) | (row - hit)) & full
+        if at + len(part) - len(a) + row.bit_count() > spare:  # characters of b passed over
+            return -1
     return len(a) - row.bit_count()
 
 
@@ -69,6 +81,7 @@ class Quotations:
         self.runs = every[order]
         self.which = np.repeat(np.arange(len(texts)), self.size)[order]
         self.place = np.concatenate([np.arange(n) for n in self.size])[order] if each else order
+        self.masks: dict[int, dict[str, int]] = {}
         self.known = np.zeros(1 << self.BITS, dtype=bool)
         self.known[self.runs & np.uint64((1 << self.BITS) - 1)] = True
 
@@ -86,11 +99,14 @@ class Quotations:
         q, place = q[keep], (at - self.place[entry])[keep]
         if not len(q):
             return []
+        # a place's cell rises with it, so one sort of both in one number brings cells together
+        low = int(place.min())
+        many = int(place.max()) - low + 1
+        both = np.sort(q * many + (place - low))
+        q, place = both // many, both % many + low
         cell = np.floor_divide(place, self.wide[q]) + 9  # a quotation may begin before the text
         many = int(cell.max()) + 2
         key = q * many + cell
-        order = np.lexsort((place, key))
-        key, place = key[order], place[order]
         opens = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         votes = np.diff(np.append(opens, len(key)))
         cells = key[opens]
@@ -115,13 +131,16 @@ class Quotations:
                 yield w, 1.0, at
                 continue
             best, place = 0.0, -1
-            matcher.set_seq2(quote)
             for votes, start in found:
                 if 2 * votes < found[0][0]:
                     break
                 there = text[start : start + len(quote)]
-                if 2 * common(quote, there) < max(best, LEAST) * (len(quote) + len(there)):  # what sequence comparison finds is a common subsequence
+                if w not in self.masks:
+                    self.masks[w] = places_of(quote)
+                need = max(best, LEAST) * (len(quote) + len(there)) / 2
+                if common(quote, there, self.masks[w], need) < need:  # what sequence comparison finds is a common subsequence
                     continue
+                matcher.set_seq2(quote)  # nothing is done again where it is the same
                 matcher.set_seq1(there)
                 ratio = matcher.ratio()
                 if ratio > best or ratio == best and start < place:

@@ -6,8 +6,8 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
-from enthyme.functions import cleaning, text
-from enthyme.operators import frames, graph, quotes, suppose
+from enthyme.functions import cleaning, similar, text
+from enthyme.operators import coverage, frames, graph, lines, quotes, suppose
 from enthyme.plans import catalog
 
 
@@ -102,3 +102,20 @@ def test_paragraphs_below_the_least_are_no_rows(spark, monkeypatch):
         rows = quotes.scored(q, s, "item_id", "doc_id", "text", 0.6)
         assert {(r.claim_id, r.source_id, r.line): r.score for r in rows.collect()} == want and want
     assert {r.claim_id: (-r.score, r.source_id, r.line) for r in quotes.best_paragraph(q, s).collect()} == best
+
+
+def test_common_gives_up_when_it_is_sure(spark):
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd é", k=rng.randrange(0, 70))) for _ in range(2))
+        full, need = similar.common(a, b), rng.randrange(0, 60)
+        assert similar.common(a, b, similar.places_of(a), need) in ({full} if full >= need else {full, -1})
+    assert similar.common("a" * 64, "b" * 64, need=48) == -1
+
+
+def test_sentences_of_a_long_paragraph(spark):
+    body = " ".join(f"Sentence number {i} says that much of it." for i in range(20_000))
+    docs = spark.createDataFrame([(1, body), (2, "One two three four that five. Six\n\nSeven eight that nine ten eleven.")], "source_id int, text string").coalesce(1)
+    found = coverage.sentences(docs, lines.source_lines(docs, "source_id")).collect()
+    assert len(found) == 20_002 and all(body[r.begin - 1 : r.end - 1] == r.sentence for r in found if r.source_id == 1)
+    assert {(r.line, r.next_line, r.begin) for r in found if r.source_id == 2} == {(1, 3, 1), (3, None, 35)}
