@@ -97,7 +97,7 @@ def exposition(lines: DataFrame, marks: DataFrame) -> DataFrame:
     the text's own density of marks would have put two."""
     marks = marks.select("source_id", F.col("line").alias("at"))
     mapped = lines.join(marks.select("source_id").distinct(), "source_id", "left_semi")
-    rows = worded(zoned(mapped))
+    rows = materialised(worded(zoned(mapped)))
     bounds = materialised(bands(rows))
     hits = bounds.join(marks, (bounds["source_id"] == marks["source_id"]) & F.col("at").between(F.col("line"), F.col("end"))).groupBy(bounds["source_id"], "line").agg(F.count("*").alias("mapped"))
     held = bounds.join(hits, ["source_id", "line"], "left").withColumn("mapped", F.coalesce("mapped", F.lit(0)))
