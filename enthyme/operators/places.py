@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_words, folded, normalise, quote_parts
-from ..plans.tables import small
+from ..plans.tables import materialised, small
 from .lines import source_lines
 
 # Words and phrases by which the rest of a sentence corrects what came before.
@@ -105,7 +105,7 @@ def occurrences(quotes: DataFrame, sources: DataFrame, q: str = "item_id", s: st
     inner = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2)).otherwise(words)
     word = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     asked = asked.select("quote_id", "parts", word.alias("anchor"), F.size(words).alias("n_words"), F.length(longest).alias("size")).filter(F.col("size") >= least)
-    body = sources.select(F.col(s).alias("source_id"), shaped(F.col(text)).alias("body"))
+    body = materialised(sources.select(F.col(s).alias("source_id"), shaped(F.col(text)).alias("body")))  # folded once, read three times
     held = body.select("source_id", F.explode(F.array_distinct(F.split(F.lower("body"), " "))).alias("anchor"))
     near = held.join(small(asked.filter("n_words > 2")), "anchor").select("quote_id", "source_id", "parts")
     short = small(asked.filter("n_words <= 2")).select("quote_id", "parts")  # nothing inside to join on: each text is searched
